@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup
+from . import mixing, near_dedup, packing, quality, toxicity
 from .common import table
 
 
@@ -15,8 +15,10 @@ def op3_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_dart_minhash": op3_dart_minhash}
+    found = [quality.op1_nnpu_quality, packing.op2_grouping_genetic_packing, op3_dart_minhash, mixing.op4_hash_threshold_mix]
+    found += [toxicity.op10_toxicity_chain]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_hash_threshold_mix": mixing.mix_sql()}
