@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, near_dedup, packing, quality, toxicity
+from . import mixing, near_dedup, packing, quality, repair_files, rules, toxicity
 from .common import table
 
 
@@ -16,6 +16,7 @@ def op3_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [quality.op1_nnpu_quality, packing.op2_grouping_genetic_packing, op3_dart_minhash, mixing.op4_hash_threshold_mix]
+    found += [repair_files.op5_repair_token_files, rules.op8_risk_controlled_rules]
     found += [toxicity.op10_toxicity_chain]
     return {f.__name__: f for f in found}
 
