@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import materialise, table
 
-SAMPLE, SUBSPACES, CODES, RERANK = 20_000, 16, 64, 200
+SAMPLE, SUBSPACES, CODES, RERANK = 20_000, 16, 64, 64
 #: Vectors in a list on average, up to MOST_LISTS lists; share of lists probed, and least number; vectors and queries in a block.
-PER_LIST, MOST_LISTS, PROBED, LEAST_PROBED, BLOCK = 400, 4096, 0.25, 8, 4096
+PER_LIST, MOST_LISTS, PROBED, LEAST_PROBED, BLOCK = 400, 4096, 0.65, 8, 4096
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:

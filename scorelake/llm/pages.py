@@ -200,16 +200,19 @@ def _nodes(batches):
             for host, html in zip(batch.column(0).slice(i, 64).to_pylist(), batch.column(1).slice(i, 64).to_pylist(), strict=True):
                 digest = _hash(html or "")
                 seen = set()
-                for node in _walk(parse(html or "")):
+                # children come after their parents in the walk, so that from its end texts and landmarks add up
+                order = list(_walk(parse(html or "")))
+                text_of: dict[int, int] = {}
+                main_of: set[int] = set()
+                for node in reversed(order):
+                    text_of[id(node)] = _hash(*(p if isinstance(p, str) else text_of.get(id(p), 0) for p in node.parts if p is not None))
+                    if node.landmark or any(id(c) in main_of for c in node.children):
+                        main_of.add(id(node))
+                for node in order:
                     if (node.landmark and node.tag not in LANDMARKS) or node.path in seen or node.tag in RAW:
                         continue
                     seen.add(node.path)
-                    texts, todo = [], [node]
-                    while todo:
-                        x = todo.pop()
-                        texts.extend(p for p in x.parts if isinstance(p, str))
-                        todo.extend(x.children)
-                    rows.append((host, node.path, digest, _hash(*(c.tag for c in node.children)), _hash(*texts), node.landmark or any(c.landmark for c in _walk(node))))
+                    rows.append((host, node.path, digest, _hash(*(c.tag for c in node.children)), text_of[id(node)], id(node) in main_of))
             if rows:
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *[pa.array(c, pa.int64()) for c in cols[1:5]], pa.array(cols[5], pa.bool_())], names=["host", "path", "page", "style", "content", "main"])
