@@ -24,7 +24,7 @@ from .common import materialise, table
 
 SAMPLE, SUBSPACES, CODES, RERANK = 20_000, 16, 64, 64
 #: Vectors in a list on average, up to MOST_LISTS lists; share of lists probed, and least number; vectors and queries in a block.
-PER_LIST, MOST_LISTS, PROBED, LEAST_PROBED, BLOCK = 400, 4096, 0.65, 8, 4096
+PER_LIST, MOST_LISTS, PROBED, LEAST_PROBED, BLOCK = 400, 4096, 0.8, 8, 4096
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -145,8 +145,9 @@ def _searcher(index: Index, k: int, rerank: int):
             # not a matrix product, whose sums may differ between equal rows
             score = (x[near] * q).sum(axis=1)
             best = _best(score, ids[near], k)
-            out.append(pd.DataFrame({"query_id": query, "vec_id": ids[near][best], "score": score[best]}))
-        return pd.concat(out)
+            out.append((np.full(len(best), query), ids[near][best], score[best]))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns, strict=True)))
 
     return run
 
