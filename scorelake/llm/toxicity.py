@@ -3,7 +3,8 @@
 Categories are predicted one after another; each later model also gets the log-odds that the earlier ones gave, and for
 training these come from folds the earlier model had not seen, so that the chain learns how far they can be trusted.
 Features are the presence of words and of word beginnings of three to six bytes (lower-cased ASCII, other bytes as they
-are), hashed to 64 bits. Those worth having are found on the cluster: for each feature, toxic and other labelled
+are), hashed to 64 bits; a feature that comes twice, or that makes up one word in a hundred, counts as a further feature
+each, since a beginning that is common in one language may mark toxic text only where it keeps coming. Those worth having are found on the cluster: for each feature, toxic and other labelled
 documents that hold it are counted after pre-aggregation, and a likelihood-ratio test with a threshold that allows for the
 number of features tested keeps the best `most_features`.
 
@@ -22,10 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BARE_BYTES, Rolling, chunks, list_array, lower_ascii, mix, spans, table, unique_by_doc, utf8
+from .common import BARE_BYTES, Rolling, chunks, list_array, lower_ascii, mix, spans, table, utf8
 
 SAMPLE, MOST_FEATURES, FOLDS = 16_000, 3000, 5
 PREFIXES = (3, 4, 5, 6)
+#: A feature is dense in a document if at least one word in so many holds it (and two words do).
+DENSE = 100
+_AGAIN, _DENSE = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 #: The chain, in order: condition on a row of labels.
 CHAIN = (("toxic_prose", "toxic = 1 and quality = 1"), ("toxic_junk", "toxic = 1 and quality = 0"), ("toxic", "toxic = 1"))
 
@@ -44,8 +48,16 @@ def presence(texts):
             h.append(mix(roll.of(st[long_enough], st[long_enough] + k) + np.uint64(k)))
             d.append(doc[long_enough])
         h, d = np.concatenate(h), np.concatenate(d)
+        order = np.lexsort((h, d))
+        h, d = h[order], d[order]
+        at = np.flatnonzero(np.concatenate([np.ones(min(len(h), 1), bool), (h[1:] != h[:-1]) | (d[1:] != d[:-1])]))
+        times = np.diff(np.append(at, len(h)))
+        h, d = h[at], d[at]
+        again = times >= 2
+        dense = again & (times * DENSE >= counts[d])
+        h, d = np.concatenate([h, mix(h[again] ^ _AGAIN), mix(h[dense] ^ _DENSE)]), np.concatenate([d, d[again], d[dense]])
         order = np.argsort(d, kind="stable")
-        yield i, j, *unique_by_doc(h[order], np.bincount(d, minlength=j - i))
+        yield i, j, h[order], np.bincount(d, minlength=j - i)
 
 
 def _counter(batches):

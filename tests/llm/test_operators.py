@@ -158,3 +158,21 @@ def test_empty_tables(spark):
     assert nearest.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert pages.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_toxic_words_that_count_only_when_they_keep_coming(spark):
+    """A word beginning that clean texts hold once marks the texts that hold it again and again."""
+    rng = np.random.default_rng(4)
+    rows, marks = [], []
+    for i in range(600):
+        words = [f"w{k}" for k in rng.integers(0, 300, 80)]
+        toxic = i % 6 == 0
+        for at in rng.choice(80, 5 if toxic else i % 3, replace=False)[: 5 if toxic else 1]:
+            words[at] = f"bomen{rng.integers(0, 40)}"
+        rows.append((i, " ".join(words), "es", "s", 0))
+        marks.append((i, 1, int(toxic)))
+    docs = spark.createDataFrame(rows, DOC)
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    chain = toxicity.fit(docs.where("doc_id < 400"), labels.where("doc_id < 400"))
+    got = {r["doc_id"]: r["toxic"] for r in toxicity.toxicity_scores(docs.where("doc_id >= 400"), chain).collect()}
+    assert got == {i: i % 6 == 0 for i in range(400, 600)}
