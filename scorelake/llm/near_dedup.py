@@ -9,8 +9,8 @@ the (weighted) Jaccard similarity.
 
 Copies of one text are joined by a 128-bit hash of the whole text first; one of each goes on. Documents that share a
 band of the signature are candidates. Within a bucket everyone is compared with one centre (and, in a second round,
-another), which is linear in the bucket; only members that are still in different components of their bucket are then
-paired. Each pair is verified on its whole shingle sets, and classes are the connected components of verified links.
+another), which is linear in the bucket. Members of buckets that still hold different components are then compared by exact
+prefix filtering of their shingle sets: they meet only on shingles that few of them hold. Each pair is verified on its whole shingle sets, and classes are the connected components of verified links.
 
 Defined results: null, empty or word-free texts are in a class of their own each; a text of one to four words has one
 shingle, all its words; repeated rows of a doc_id are one document; a null doc_id gives no row; ties go to the smallest doc_id;
@@ -160,7 +160,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
         if turn < 2:
             pairs = _star_pairs(members, labels, turn, similarity)
         else:
-            pairs = _rest_pairs(members, labels, similarity)
+            pairs = _rest_pairs(members, labels, sets, similarity)
         found = materialise(_verify(pairs, sets, similarity), "dart-links")
         links = found if links is None else links.unionByName(found)
         labels = components(links)
@@ -196,11 +196,30 @@ def _star_pairs(members: DataFrame, labels: DataFrame | None, turn: int, similar
     return pairs.where(_near_size("n_sh", "m_sh", similarity)).select("a", "b").distinct()
 
 
-def _rest_pairs(members: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
-    m = _labelled(members, labels)
-    other = m.select("h", F.col("rep").alias("b"), F.col("c").alias("d"), F.col("n_sh").alias("m_sh"))
-    pairs = m.withColumnRenamed("rep", "a").join(other, "h").where("a < b and c <> d")
-    return pairs.where(_near_size("n_sh", "m_sh", similarity)).select("a", "b").distinct()
+def _rest_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of members in different components that could be similar, by prefix filtering, exactly.
+
+    Sets of n and m shingles with at least the similarity share ceil(similarity x max(n, m)) of them. With the shingles of
+    each set in one global order, two such sets share one among their first n - ceil(similarity x n) + 1. The order is the
+    rarest first, so that a passage that many documents share comes last, and documents meet only on what few others hold.
+    """
+    own = _labelled(members.select("rep", "n_sh").distinct(), labels)
+    each = sets.join(own.select(F.col("rep").alias("id")), "id", "left_semi").select("id", F.explode("sh").alias("s"))
+    each = materialise(each, "dart-rest")
+    often = each.groupBy("s").agg(F.count("*").alias("n")).where("n > 1")
+    # a shingle that one document alone holds links nothing: it only takes up a place at the front
+    known = _salted_join(each, often, "s", "id")
+    prefix = known.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "s"))).alias("x"))
+    prefix = prefix.join(own.withColumnRenamed("rep", "id"), "id")
+    room = F.expr(f"cast(n_sh - ceil({similarity}D * n_sh - 1e-9D) + 1 - (n_sh - size(x)) as int)")
+    front = prefix.withColumn("room", room).where("room > 0").select("id", "c", "n_sh", F.explode(F.expr("slice(x, 1, room)")).alias("y"))
+    front = materialise(front.select("id", "c", "n_sh", F.col("y.s").alias("s")), "dart-front")
+    mixed = front.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("s")
+    front = materialise(_salted_join(front, mixed, "s", "id", how="left_semi"), "dart-mixed")
+    a = front.select("s", F.col("id").alias("a"), "c", "n_sh")
+    other = front.select("s", F.col("id").alias("b"), F.col("c").alias("d"), F.col("n_sh").alias("m_sh"))
+    near = _near_size("n_sh", "m_sh", similarity)
+    return a.join(other, "s").where(F.expr("a < b and c <> d") & near).select("a", "b").distinct()
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:

@@ -101,6 +101,34 @@ def test_near_duplicates(docs):
     assert got[2] == got[7] == 2 and got[0] == 0 and got[1] == 1
 
 
+def test_near_duplicates_against_all_pairs(spark):
+    """Texts that share a long passage but differ enough, beside real near copies: buckets that hold many classes."""
+    rng = np.random.default_rng(8)
+    passage = [f"p{k}" for k in range(100)]
+    texts = []
+    for i in range(90):
+        own = [f"o{k}" for k in rng.integers(0, 9000, int(rng.integers(5, 60)))]
+        texts.append(passage[: int(rng.integers(60, 100))] + own)
+    texts += [t[:-1] + ["x"] for t in texts[:20]]
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    label = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                label = [min(label[a], label[b]) if x in (label[a], label[b]) else x for x in label]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(df).collect()}
+    assert got == dict(enumerate(label)) and len(set(label)) > 20
+
+    # the exact join of what the buckets leave, on its own: every similar pair of different components
+    h = [sorted({hash(x) % (1 << 62) for x in s}) for s in sets]
+    members = spark.createDataFrame([(i, len(x), 0) for i, x in enumerate(h)], "rep long, n_sh long, h long")
+    own = spark.createDataFrame([(i, x) for i, x in enumerate(h)], "id long, sh array<long>")
+    none = spark.createDataFrame([], "id long, label long")
+    found = {(r["a"], r["b"]) for r in near_dedup._verify(near_dedup._rest_pairs(members, none, own, 0.8), own, 0.8).collect()}
+    assert found == {(a, b) for b in range(len(h)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, 8)).astype(np.float32)
