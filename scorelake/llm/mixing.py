@@ -90,7 +90,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     cuts = None
     for k in range(rounds):
         left = open_.where("size > 0 and size <= rest")
-        cut = _thresholds(left)
+        # written, so that its size is known and the rows, where one source may be hot, stay where they are
+        cut = materialise(_thresholds(left), "mix-cut")
         fit = left.join(cut, "sid", "left").where("cut is null or h < cut").groupBy("sid").agg(F.sum("size").alias("spent"))
         budget = mine.select("sid", "rest") if cuts is None else cuts.select("sid", F.col(f"rest{k}").alias("rest"))
         now = budget.join(cut, "sid", "left").join(fit, "sid", "left")
