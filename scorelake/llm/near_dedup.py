@@ -31,6 +31,7 @@ from .common import Rolling, chunks, list_array, materialise, mix, shingles, spa
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 6
 SALTS = 16
+CENTRES = 8
 #: Identifiers that may be broadcast (8 bytes each); beyond it the join is shuffled.
 BROADCAST_IDS = 1_000_000
 _NEXT = np.uint64(0xD1342543DE82EF95)
@@ -189,9 +190,11 @@ def _near_size(a: str, b: str, similarity: float) -> Column:
 
 
 def _star_pairs(members: DataFrame, labels: DataFrame | None, turn: int, similarity: float) -> DataFrame:
-    """Each member of a bucket with the bucket's centre, unless they are in one component."""
+    """Each member of a bucket with the bucket's centre, unless they are in one component.
+
+    Buckets of the same documents have up to CENTRES different centres, so that a group of near copies is met from many sides."""
     m = _labelled(members, labels)
-    centre = m.groupBy("h").agg(F.min_by(F.struct("rep", "n_sh", "c"), F.xxhash64("rep", F.lit(turn))).alias("x"))
+    centre = m.groupBy("h").agg(F.min_by(F.struct("rep", "n_sh", "c"), F.xxhash64("rep", F.pmod("h", F.lit(CENTRES)), F.lit(turn))).alias("x"))
     pairs = _salted_join(m, centre, "h", "rep").where("c <> x.c").select(F.least("rep", "x.rep").alias("a"), F.greatest("rep", "x.rep").alias("b"), "n_sh", F.col("x.n_sh").alias("m_sh"))
     return pairs.where(_near_size("n_sh", "m_sh", similarity)).select("a", "b").distinct()
 
@@ -200,8 +203,9 @@ def _rest_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, similari
     """Pairs of members in different components that could be similar, by prefix filtering, exactly.
 
     Sets of n and m shingles with at least the similarity share ceil(similarity x max(n, m)) of them. With the shingles of
-    each set in one global order, two such sets share one among their first n - ceil(similarity x n) + 1. The order is the
-    rarest first, so that a passage that many documents share comes last, and documents meet only on what few others hold.
+    each set in one global order, two such sets share one among their first n - ceil(similarity x n) + 1, at places behind
+    which enough is left of both. The order is the rarest first, so that a passage that many documents share comes last, and documents
+    meet only on what few others hold.
     """
     own = _labelled(members.select("rep", "n_sh").distinct(), labels)
     each = sets.join(own.select(F.col("rep").alias("id")), "id", "left_semi").select("id", F.explode("sh").alias("s"))
@@ -211,15 +215,20 @@ def _rest_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, similari
     known = _salted_join(each, often, "s", "id")
     prefix = known.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "s"))).alias("x"))
     prefix = prefix.join(own.withColumnRenamed("rep", "id"), "id")
-    room = F.expr(f"cast(n_sh - ceil({similarity}D * n_sh - 1e-9D) + 1 - (n_sh - size(x)) as int)")
-    front = prefix.withColumn("room", room).where("room > 0").select("id", "c", "n_sh", F.explode(F.expr("slice(x, 1, room)")).alias("y"))
-    front = materialise(front.select("id", "c", "n_sh", F.col("y.s").alias("s")), "dart-front")
+    # i: places behind the front of the whole set, from 0; at i, at most n_sh - i shingles can be shared
+    flat = prefix.select("id", "c", "n_sh", (F.col("n_sh") - F.size("x")).alias("alone"), F.posexplode("x").alias("at", "y"))
+    flat = flat.select("id", "c", "n_sh", F.col("y.s").alias("s"), (F.col("alone") + F.col("at")).alias("i"))
+    front = flat.where(F.expr(f"n_sh - i >= {similarity}D * n_sh - 1e-6D"))
+    front = materialise(front, "dart-front")
     mixed = front.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("s")
     front = materialise(_salted_join(front, mixed, "s", "id", how="left_semi"), "dart-mixed")
-    a = front.select("s", F.col("id").alias("a"), "c", "n_sh")
-    other = front.select("s", F.col("id").alias("b"), F.col("c").alias("d"), F.col("n_sh").alias("m_sh"))
-    near = _near_size("n_sh", "m_sh", similarity)
-    return a.join(other, "s").where(F.expr("a < b and c <> d") & near).select("a", "b").distinct()
+    # the smaller set (the smaller id, of equal sizes) brings a shorter front still: it shares this part of itself or more
+    both = 2 * similarity / (1 + similarity)
+    small = front.where(F.expr(f"n_sh - i >= {both}D * n_sh - 1e-6D")).select("s", F.col("id").alias("a"), "c", "n_sh", "i")
+    large = front.select("s", F.col("id").alias("b"), F.col("c").alias("d"), F.col("n_sh").alias("m_sh"), F.col("i").alias("j"))
+    left = F.expr(f"least(n_sh - i, m_sh - j) >= {both / 2}D * (n_sh + m_sh) - 1e-6D and c <> d and (n_sh < m_sh or (n_sh = m_sh and a < b))")
+    pairs = small.join(large, "s").where(left & _near_size("n_sh", "m_sh", similarity))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
