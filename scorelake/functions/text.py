@@ -50,3 +50,40 @@ def jaccard(a: Column, b: Column, both_empty: float = 0.0) -> Column:
 def novelty(grams: Column, source: Column) -> Column:
     """Share of distinct n-grams that the source doesn't hold."""
     return ratio(F.size(F.array_except(grams, source)), F.size(F.array_distinct(grams)))
+
+
+def orders(items: Column, n: int) -> Column:
+    """All n-grams up to n of an array attribute, as structs of order and gram."""
+    return F.flatten(F.array(*[_tagged(ngrams(items, k) if k > 1 else items, k) for k in range(1, n + 1)]))
+
+
+def _tagged(grams: Column, n: int) -> Column:
+    return F.transform(grams, lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
+
+
+def char_orders(text: Column, n: int) -> Column:
+    """Character n-grams up to n of a string attribute, as structs of order and gram."""
+    size = F.length(text)
+    each = []
+    for k in range(1, n + 1):
+        at = F.when(size >= k, F.sequence(F.lit(1), size - (k - 1))).otherwise(F.array().cast("array<int>"))
+        each.append(_tagged(_cut(text, at, k), k))
+    return F.flatten(F.array(*each))
+
+
+def _cut(text: Column, at: Column, n: int) -> Column:
+    return F.transform(at, lambda i: F.substring(text, i, F.lit(n)))
+
+
+def syllables(word: Column) -> Column:
+    """Estimated syllables of a lower-case word: its vowel groups, with rules for final -e, -le and -tion, -sion, -cian."""
+    silent = word.endswith("e") & ~word.endswith("le")
+    groups = F.regexp_count(F.when(silent, F.regexp_replace(word, "e$", "")).otherwise(word), F.lit("[aeiouy]+"))
+    groups = groups + F.when(word.rlike("[^aeiouy]le$"), 1).otherwise(0)
+    groups = F.when(word.rlike("(tion|sion|cian)$"), F.greatest(groups, F.lit(2))).otherwise(groups)
+    return F.when(F.length(word) <= 3, 1).otherwise(F.greatest(groups, F.lit(1)))
+
+
+def is_complex(word: Column) -> Column:
+    """Three syllables or more, also without a final -ed, -es, -ing or -ly."""
+    return (syllables(word) >= 3) & (syllables(F.regexp_replace(word, "(ed|es|ing|ly)$", "")) >= 3)

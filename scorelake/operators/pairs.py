@@ -39,3 +39,48 @@ def set_measures(pairs: DataFrame, hypothesis: str, reference: str, keys: list[s
         T.novelty(F.col("h2"), F.col("r2")).alias("novel_bigrams"),
         T.ratio(F.size(h), F.size(r)).alias("compression"),
     )
+
+
+def clipped_orders(grams: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
+    """keys, n, matches, n_a, n_b and the sums of a tf-idf cosine, for each order that one of the two array columns holds."""
+    left = grams.select(*keys, F.inline(a)).withColumns({"x": F.lit(1), "y": F.lit(0)})
+    right = grams.select(*keys, F.inline(b)).withColumns({"x": F.lit(0), "y": F.lit(1)})
+    c = left.unionByName(right).groupBy(*keys, "n", "gram").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    # in a corpus of the two texts a gram of both weighs 1, a gram of one ln(3 / 2) + 1
+    w = F.when((F.col("x") > 0) & (F.col("y") > 0), 1.0).otherwise(F.log(F.lit(1.5)) + 1)
+    sums = {"matches": F.least("x", "y"), "n_a": F.col("x"), "n_b": F.col("y"), "dot": F.col("x") * F.col("y")}
+    sums |= {"sq_a": F.col("x") * F.col("x") * w * w, "sq_b": F.col("y") * F.col("y") * w * w}
+    return c.groupBy(*keys, "n").agg(*[F.sum(v).alias(k) for k, v in sums.items()])
+
+
+def _brevity(h, r):
+    return F.when(h < r, F.exp(1 - r / h)).otherwise(1.0)
+
+
+def bleu_tfidf(pairs: DataFrame, hypothesis: str, reference: str, keys: list[str]) -> DataFrame:
+    """keys, bleu_1, bleu_2, bleu_4 (orders without a match are left out), bleu_strict (such an order gives 0), tfidf_cosine."""
+    words = pairs.select(*keys, T.tokens(F.col(hypothesis)).alias("h"), T.tokens(F.col(reference)).alias("r"))
+    m = clipped_orders(words.select(*keys, T.orders(F.col("h"), 4).alias("h"), T.orders(F.col("r"), 4).alias("r")), "h", "r", keys)
+    log_p = F.when(F.col("matches") > 0, F.log(F.col("matches") / F.col("n_a")))
+    first = lambda c: F.max(F.when(F.col("n") == 1, F.col(c)))
+    got = m.groupBy(*keys).agg(
+        *[F.avg(F.when(F.col("n") <= k, log_p)).alias(f"l{k}") for k in (1, 2, 4)],
+        F.max((F.col("n_a") > 0) & (F.col("matches") == 0)).alias("missing"),
+        *[first(c).alias(c) for c in ("n_a", "n_b", "dot", "sq_a", "sq_b")],
+    )
+    bp = _brevity(F.col("n_a"), F.col("n_b"))
+    score = {f"bleu_{k}": F.coalesce(bp * F.exp(f"l{k}"), F.lit(0.0)) for k in (1, 2, 4)}
+    score["bleu_strict"] = F.when(F.col("missing") | F.col("l4").isNull(), 0.0).otherwise(bp * F.exp("l4"))
+    score["tfidf_cosine"] = F.coalesce(F.when(F.col("sq_a") * F.col("sq_b") > 0, F.col("dot") / (F.sqrt("sq_a") * F.sqrt("sq_b"))), F.lit(0.0))
+    return pairs.select(*keys).join(got, keys, "left").select(*keys, *[F.round(v, 4).alias(k) for k, v in score.items()])
+
+
+def chrf(pairs: DataFrame, hypothesis: str, reference: str, keys: list[str], n: int = 6, beta: float = 2.0) -> DataFrame:
+    """keys, chrf: mean precision and recall of the character orders that both texts have, without white space, as F-beta."""
+    bare = pairs.select(*keys, *[F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\s+", "").alias(k) for c, k in ((hypothesis, "h"), (reference, "r"))])
+    m = clipped_orders(bare.select(*keys, T.char_orders(F.col("h"), n).alias("h"), T.char_orders(F.col("r"), n).alias("r")), "h", "r", keys)
+    usable = m.where("n_a > 0 and n_b > 0")
+    got = usable.groupBy(*keys).agg(F.avg(F.col("matches") / F.col("n_a")).alias("p"), F.avg(F.col("matches") / F.col("n_b")).alias("q"))
+    b2 = beta * beta
+    f = F.when(F.col("p") + F.col("q") > 0, (1 + b2) * F.col("p") * F.col("q") / (b2 * F.col("p") + F.col("q"))).otherwise(0.0)
+    return pairs.select(*keys).join(got, keys, "left").select(*keys, F.round(f, 4).alias("chrf"))

@@ -1,0 +1,49 @@
+"""Order-sensitive measures of pairs of token sequences, by row-wise dynamic programs on Arrow batches."""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+
+
+def edits(a: np.ndarray, b: np.ndarray) -> int:
+    """Unit-cost edit distance; memory grows with the length of b alone."""
+    at = np.arange(len(b) + 1)
+    row = at.copy()
+    for i, x in enumerate(a, 1):
+        step = np.concatenate([[i], np.minimum(row[1:] + 1, row[:-1] + (b != x))])
+        row = np.minimum.accumulate(step - at) + at
+    return int(row[-1])
+
+
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the longest common subsequence."""
+    row = np.zeros(len(b) + 1, np.int64)
+    for x in a:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], (row[:-1] + 1) * (b == x)))
+    return int(row[-1])
+
+
+def _run(batches):
+    for batch in batches:
+        h, r = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+        codes = [np.unique(np.array(x + y, dtype=object), return_inverse=True)[1] if x or y else np.zeros(0, np.int64) for x, y in zip(h, r, strict=True)]
+        both = [(c[: len(x)], c[len(x) :]) for c, x in zip(codes, h, strict=True)]
+        out = [pa.array([f(x, y) for x, y in both], pa.int64()) for f in (edits, common)]
+        sizes = [pa.array([len(x) for x in side], pa.int64()) for side in (h, r)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *out, *sizes], names=[*batch.schema.names[:-2], "edits", "lcs", "n_h", "n_r"])
+
+
+def wer_rouge_l(pairs: DataFrame, hypothesis: str, reference: str, keys: list[str]) -> DataFrame:
+    """keys, wer (0 without reference tokens), lcs, and precision, recall and f1 of the longest common subsequence."""
+    words = pairs.select(*keys, T.tokens(F.col(hypothesis)).alias("_h"), T.tokens(F.col(reference)).alias("_r"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in words.schema.fields[:-2])
+    m = words.mapInArrow(_run, f"{schema}, edits long, lcs long, n_h long, n_r long")
+    p, r = T.ratio(F.col("lcs"), F.col("n_h")), T.ratio(F.col("lcs"), F.col("n_r"))
+    f1 = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
+    wer = T.ratio(F.col("edits"), F.col("n_r"))
+    return m.select(*keys, F.round(wer, 4).alias("wer"), "lcs", F.round(p, 4).alias("precision"), F.round(r, 4).alias("recall"), F.round(f1, 4).alias("f1"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import analytics, pairs
+from ..operators import analytics, pairs, sequences
 from ..sources.tables import parquet, turn_pairs
 
 KEYS = ["conv_id", "turn"]
@@ -74,8 +74,35 @@ def pair_cer(spark, sf: str) -> DataFrame:
     return turn_pairs(spark, sf).select(*KEYS, T.ratio(F.levenshtein(a, b), F.length(b)).alias("cer"))
 
 
+def pair_bleu_tfidf(spark, sf: str) -> DataFrame:
+    return pairs.bleu_tfidf(turn_pairs(spark, sf), "answer", "prompt", KEYS)
+
+
+def pair_chrf(spark, sf: str) -> DataFrame:
+    return pairs.chrf(turn_pairs(spark, sf), "answer", "prompt", KEYS)
+
+
+def pair_wer_rouge_l(spark, sf: str) -> DataFrame:
+    return sequences.wer_rouge_l(turn_pairs(spark, sf), "answer", "prompt", KEYS)
+
+
+def word_measures(spark, sf: str) -> DataFrame:
+    w = parquet(spark, sf, "documents").select("doc_id", F.explode(T.ascii_tokens(F.col("text"))).alias("w"))
+    # each word of a document is measured once
+    c = w.groupBy("doc_id", "w").agg(F.count("*").alias("c")).withColumn("s", T.syllables(F.col("w")))
+    n, long = F.sum("c"), (F.col("s") >= 3) & (F.length("w") >= 7)
+    share = lambda x: 100.0 * F.sum(F.when(x, F.col("c")).otherwise(0)) / n
+    return c.groupBy("doc_id").agg(
+        F.sum(F.col("c") * F.col("s")).alias("n_syllables"),
+        F.sum(F.when(T.is_complex(F.col("w")), F.col("c")).otherwise(0)).alias("n_complex"),
+        (F.sum(F.col("c") * F.length("w")) / n).alias("avg_word_length"),
+        share(long).alias("lexical_sophistication"),
+    )
+
+
 def queries() -> dict:
-    found = [token_stats, lexical_richness, composite_balanced, zscore_by_lang, stats_by_lang, leaderboard, pair_sets, pair_rouge1, pair_rouge2, pair_cer]
+    found = [pair_bleu_tfidf, pair_chrf, pair_wer_rouge_l, word_measures]
+    found += [token_stats, lexical_richness, composite_balanced, zscore_by_lang, stats_by_lang, leaderboard, pair_sets, pair_rouge1, pair_rouge2, pair_cer]
     return {f.__name__: f for f in found}
 
 
@@ -106,6 +133,40 @@ p AS (SELECT conv_id, turn, CAST(CASE WHEN nh > 0 THEN m / nh ELSE 0 END AS DOUB
 SELECT conv_id, turn, round(p, 4) AS "precision", round(r, 4) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 4) AS f1 FROM p"""
 
 
+_CLIPPED = """c AS (SELECT conv_id, turn, n, gram, sum(x) AS x, sum(y) AS y FROM g GROUP BY ALL),
+m AS (SELECT conv_id, turn, n, sum(least(x, y))::DOUBLE AS m, sum(x)::DOUBLE AS na, sum(y)::DOUBLE AS nb, sum(x * y)::DOUBLE AS dot,
+  sum(x * x * pow(CASE WHEN x > 0 AND y > 0 THEN 1 ELSE ln(1.5::DOUBLE) + 1 END, 2))::DOUBLE AS sa, sum(y * y * pow(CASE WHEN x > 0 AND y > 0 THEN 1 ELSE ln(1.5::DOUBLE) + 1 END, 2))::DOUBLE AS sb FROM c GROUP BY ALL)"""
+
+
+def _orders_sql(made, n: int) -> str:
+    return " UNION ALL ".join(f"SELECT conv_id, turn, {k} AS n, unnest({made(s, k)}) AS gram, {x} AS x, {1 - x} AS y FROM w" for k in range(1, n + 1) for s, x in (("h", 1), ("r", 0)))
+
+
+def _bleu_sql() -> str:
+    mean = ", ".join(f"avg(CASE WHEN m > 0 AND n <= {k} THEN ln(m / na) END) AS l{k}" for k in (1, 2, 4))
+    first = ", ".join(f"max({c}) FILTER (n = 1) AS {c}" for c in ("na", "nb", "dot", "sa", "sb"))
+    bp = "CASE WHEN na < nb THEN exp(1 - nb / na) ELSE 1 END"
+    bleu = ", ".join(f"round(coalesce({bp} * exp(l{k}), 0), 4) AS bleu_{k}" for k in (1, 2, 4))
+    return f"""WITH {_PAIRS}, w AS (SELECT conv_id, turn, {_TOK.format('answer')} AS h, {_TOK.format('prompt')} AS r FROM pairs), g AS ({_orders_sql(_grams, 4)}), {_CLIPPED},
+b AS (SELECT conv_id, turn, {mean}, bool_or(na > 0 AND m = 0) AS missing, {first} FROM m GROUP BY ALL)
+SELECT p.conv_id, p.turn, {bleu}, CASE WHEN missing OR l4 IS NULL THEN 0 ELSE round({bp} * exp(l4), 4) END AS bleu_strict,
+coalesce(CASE WHEN sa * sb > 0 THEN round(dot / (sqrt(sa) * sqrt(sb)), 4) END, 0) AS tfidf_cosine FROM pairs p LEFT JOIN b USING (conv_id, turn)"""
+
+
+def _chrf_sql() -> str:
+    bare = lambda c: f"regexp_replace(lower(coalesce({c}, '')), '\\s+', '', 'g')"
+    made = lambda s, k: f"list_transform(range(1, greatest(length({s}) - {k - 1}, 0) + 1), lambda i: substring({s}, i, {k}))"
+    return f"""WITH {_PAIRS}, w AS (SELECT conv_id, turn, {bare('answer')} AS h, {bare('prompt')} AS r FROM pairs), g AS ({_orders_sql(made, 6)}), {_CLIPPED},
+b AS (SELECT conv_id, turn, avg(m / na) AS p, avg(m / nb) AS q FROM m WHERE na > 0 AND nb > 0 GROUP BY ALL)
+SELECT conv_id, turn, round(CASE WHEN b.p + q > 0 THEN 5 * b.p * q / (4 * b.p + q) ELSE 0 END, 4) AS chrf FROM pairs LEFT JOIN b USING (conv_id, turn)"""
+
+
+def _syllables_sql(w: str) -> str:
+    groups = lambda x: f"len(regexp_extract_all({x}, '[aeiouy]+'))"
+    base = f"(CASE WHEN {w} LIKE '%e' AND {w} NOT LIKE '%le' THEN {groups(f'left({w}, -1)')} ELSE {groups(w)} END + CASE WHEN regexp_matches({w}, '[^aeiouy]le$') THEN 1 ELSE 0 END)"
+    return f"CASE WHEN length({w}) <= 3 THEN 1 WHEN regexp_matches({w}, '(tion|sion|cian)$') THEN greatest({base}, 2) ELSE greatest({base}, 1) END"
+
+
 def _ratio(a: str, b: str) -> str:
     return f"CAST(CASE WHEN {b} > 0 THEN {a} / {b} ELSE 0 END AS DOUBLE)"
 
@@ -130,4 +191,10 @@ SELECT conv_id, turn, {_ratio(both('h', 'r'), union('h', 'r'))} AS jaccard, {_ra
 {_ratio(f"(len(list_distinct(h2)) - {both('h2', 'r2')})", 'len(list_distinct(h2))')} AS novel_bigrams, {_ratio('len(h)', 'len(r)')} AS compression FROM g""",
         "pair_rouge1": _rouge_sql(1),
         "pair_rouge2": _rouge_sql(2),
+        "pair_bleu_tfidf": _bleu_sql(),
+        "pair_chrf": _chrf_sql(),
+        "word_measures": f"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+(?:''[a-z]+)?')) AS w FROM documents),
+c AS (SELECT doc_id, w, count(*) AS c, regexp_replace(w, '(ed|es|ing|ly)$', '') AS v FROM t GROUP BY doc_id, w), s AS (SELECT *, {_syllables_sql('w')} AS s, {_syllables_sql('v')} AS sv FROM c)
+SELECT doc_id, CAST(sum(c * s) AS BIGINT) AS n_syllables, CAST(coalesce(sum(c) FILTER (s >= 3 AND sv >= 3), 0) AS BIGINT) AS n_complex, CAST(sum(c * length(w)) / sum(c) AS DOUBLE) AS avg_word_length,
+CAST(100.0 * coalesce(sum(c) FILTER (s >= 3 AND length(w) >= 7), 0) / sum(c) AS DOUBLE) AS lexical_sophistication FROM s GROUP BY doc_id""",
     }

