@@ -8,8 +8,11 @@ at least `LEAST_PAGES` different pages is template and is removed from each page
 
 Hosts with few pages show no template, so a node starts with what its names say: navigation, headers and footers of the
 page, asides, forms, scripts, styles, and elements whose class or id names adverts, menus, notices, comments and the like
-have importance 0; an article or main element has importance 1 together with what stands above it, and so have the
-blocks within it. Where a page has such an element, only its text is taken.
+have importance 0; an article or main element has importance 1 together with what stands above it. Where a page has such
+an element, only its text is taken. Branches within it are in the tree as others are, but go only if the entropy of their content is
+low too. A line within it is template by its own entropy: with k of the m pages that hold its element, its importance is
+1 - log k / log m; it goes where that is below `LOW`, on `LEAST_PAGES` pages and half of the m at least. Where nothing would be left of
+the element, as on a host of near copies, all of it stays.
 
 Defined results: null and empty html, and pages without text, give an empty text; a page without url is on a host of its
 own name, the empty one; rows that repeat a page_id are extracted each; broken markup never fails: an unclosed element ends with the
@@ -33,6 +36,10 @@ LOW, LEAST_PAGES, GAMMA = 0.2, 5, 0.9
 #: Removed branches (64-bit hashes) that may be broadcast; beyond it the join is shuffled.
 BROADCAST_NODES = 200_000
 SALTS = 16
+#: Share of the pages with its element that hold a line of an article or main element, if it is template.
+LEAST_SHARE = 0.5
+#: A node is outside article and main elements, within one, or is one or stands above one.
+OUTSIDE, WITHIN, MAIN = 0, 1, 2
 
 RAW = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "param"}
@@ -55,10 +62,10 @@ _SPACE = re.compile(r"[\s ]+")
 
 
 class Node:
-    __slots__ = ("tag", "path", "chrome", "landmark", "parts", "children")
+    __slots__ = ("tag", "path", "chrome", "own", "landmark", "parts", "children")
 
-    def __init__(self, tag: str, path: int, chrome: bool, landmark: bool):
-        self.tag, self.path, self.chrome, self.landmark = tag, path, chrome, landmark
+    def __init__(self, tag: str, path: int, chrome: bool, own: bool, landmark: bool):
+        self.tag, self.path, self.chrome, self.own, self.landmark = tag, path, chrome, own, landmark
         self.parts: list[str | Node | None] = []
         self.children: list[Node] = []
 
@@ -74,7 +81,8 @@ def _node(name: str, attrs: str, parent: Node) -> Node:
     chrome = name in CHROME or (name == "header" and not _within(parent)) or known.get("role", "").lower() in CHROME_ROLES or "hidden" in known
     chrome = chrome or bool(names and name not in ("html", "body", "article", "main") and CHROME_NAMES.search(names))
     landmark = name in LANDMARKS or known.get("role", "").lower() == "main"
-    node = Node(name, _hash(parent.path, name, names), chrome or parent.chrome, (landmark and not (chrome or parent.chrome)) or parent.landmark)
+    own = landmark and not (chrome or parent.chrome)
+    node = Node(name, _hash(parent.path, name, names), chrome or parent.chrome, own, own or parent.landmark)
     parent.parts.append(node)
     parent.children.append(node)
     return node
@@ -86,7 +94,7 @@ def _within(node: Node) -> bool:
 
 def parse(text: str) -> Node:
     """The element tree, in one pass; parts of a node: texts, block elements, and None for a line break."""
-    root = Node("", 0, False, False)
+    root = Node("", 0, False, False, False)
     stack = [root]
     at, end = 0, len(text)
     while at < end:
@@ -160,8 +168,8 @@ def _walk(root: Node) -> Iterator[Node]:
         todo.extend(reversed(node.children))
 
 
-def blocks(root: Node, removed: frozenset[int] | set[int] = frozenset()) -> list[str]:
-    """Texts of the blocks, in page order, that no removed branch holds."""
+def _lines(root: Node, removed: frozenset[int] | set[int] = frozenset()) -> list[tuple[Node, str]]:
+    """Elements and texts of the blocks, in page order, that no removed branch holds."""
     only = any(n.landmark for n in _walk(root))
     found, held = [], []
 
@@ -169,8 +177,8 @@ def blocks(root: Node, removed: frozenset[int] | set[int] = frozenset()) -> list
         if held:
             line = _SPACE.sub(" ", "".join(held)).strip()
             held.clear()
-            if line:
-                found.append(line)
+            if line and not (removed and node.landmark and _hash(node.path, line) in removed):
+                found.append((node, line))
 
     # iterative, as broken pages nest deeply
     todo: list[tuple[Node, int]] = [(root, 0)]
@@ -188,56 +196,86 @@ def blocks(root: Node, removed: frozenset[int] | set[int] = frozenset()) -> list
                 held.append(part)
         else:
             flush()
-            if not part.chrome and (part.landmark or part.path not in removed):
+            if not part.chrome and part.path not in removed:
                 todo.append((part, 0))
     return found
 
 
+def blocks(root: Node, removed: frozenset[int] | set[int] = frozenset()) -> list[str]:
+    """Texts of the blocks, in page order, that are no template; all of them, where an article or main element would be left empty."""
+    found = _lines(root, removed)
+    if not found and removed and any(n.landmark for n in _walk(root)):
+        found = _lines(root)
+    return [line for _, line in found]
+
+
 def _nodes(batches):
     for batch in batches:
         for i in range(0, batch.num_rows, 64):
             rows = []
             for host, html in zip(batch.column(0).slice(i, 64).to_pylist(), batch.column(1).slice(i, 64).to_pylist(), strict=True):
                 digest = _hash(html or "")
-                seen = set()
-                # children come after their parents in the walk, so that from its end texts and landmarks add up
-                order = list(_walk(parse(html or "")))
+                root = parse(html or "")
+                # children come after their parents in the walk, so that from its end texts and landmarks add up; chrome is never taken
+                order = [n for n in _walk(root) if not n.chrome]
                 text_of: dict[int, int] = {}
                 main_of: set[int] = set()
                 for node in reversed(order):
                     text_of[id(node)] = _hash(*(p if isinstance(p, str) else text_of.get(id(p), 0) for p in node.parts if p is not None))
-                    if node.landmark or any(id(c) in main_of for c in node.children):
+                    if node.own or any(id(c) in main_of for c in node.children):
                         main_of.add(id(node))
+                alike: dict[int, list[Node]] = {}
                 for node in order:
-                    if (node.landmark and node.tag not in LANDMARKS) or node.path in seen or node.tag in RAW:
-                        continue
-                    seen.add(node.path)
-                    rows.append((host, node.path, digest, _hash(*(c.tag for c in node.children)), text_of[id(node)], id(node) in main_of))
+                    alike.setdefault(node.path, []).append(node)
+                for path, same in alike.items():
+                    place = MAIN if any(id(n) in main_of for n in same) else WITHIN if same[0].landmark else OUTSIDE
+                    # elements of one path are one node: all their texts count
+                    content = text_of[id(same[0])] if len(same) == 1 else _hash(*(text_of[id(n)] for n in same))
+                    rows.append((host, path, digest, _hash(*(c.tag for c in same[0].children)), content, place))
+                rows.extend((host, path, digest, None, line, WITHIN) for path, line in {(n.path, _hash(n.path, x)) for n, x in _lines(root) if n.landmark})
             if rows:
                 cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *[pa.array(c, pa.int64()) for c in cols[1:5]], pa.array(cols[5], pa.bool_())], names=["host", "path", "page", "style", "content", "main"])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *[pa.array(c, pa.int64()) for c in cols[1:5]], pa.array(cols[5], pa.int32())], names=["host", "path", "page", "style", "content", "place"])
 
 
 def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def importance(pages: DataFrame) -> DataFrame:
-    """host, path, pages, importance, main for every node of the sites' style trees."""
+def style_tree(pages: DataFrame) -> DataFrame:
+    """host, path, style, content, c, place: the pages c that hold a node so; without style, the lines in article or main elements."""
     rows = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
-    nodes = rows.mapInArrow(_nodes, "host string, path long, page long, style long, content long, main boolean")
+    nodes = rows.mapInArrow(_nodes, "host string, path long, page long, style long, content long, place int")
     # copies of a page count once
-    held = materialise(nodes.groupBy("host", "path", "style", "content", "page").agg(F.max("main").alias("main")).groupBy("host", "path", "style", "content").agg(F.count("*").alias("c"), F.max("main").alias("main")), "style-tree")
+    once = nodes.groupBy("host", "path", "style", "content", "page").agg(F.max("place").alias("place"))
+    return materialise(once.groupBy("host", "path", "style", "content").agg(F.count("*").alias("c"), F.max("place").alias("place")), "style-tree")
+
+
+def importance(tree: DataFrame) -> DataFrame:
+    """host, path, pages, place, hc (entropy of its content), importance for every node of the sites' style trees."""
+    held = tree.where("style is not null")
 
     def entropy(by: str) -> DataFrame:
-        c = held.groupBy("host", "path", by).agg(F.sum("c").alias("c"), F.max("main").alias("main"))
-        return c.groupBy("host", "path").agg(F.sum("c").alias("pages"), F.sum(F.col("c") * F.log("c")).alias("s"), F.count("*").alias("kinds"), F.max("main").alias("main")).select(
-            "host", "path", "pages", "main", "kinds", F.when(F.col("pages") > 1, (F.log("pages") - F.col("s") / F.col("pages")) / F.log("pages")).otherwise(1.0).alias("h")
+        c = held.groupBy("host", "path", by).agg(F.sum("c").alias("c"), F.max("place").alias("place"))
+        return c.groupBy("host", "path").agg(F.sum("c").alias("pages"), F.sum(F.col("c") * F.log("c")).alias("s"), F.count("*").alias("kinds"), F.max("place").alias("place")).select(
+            "host", "path", "pages", "place", "kinds", F.when(F.col("pages") > 1, (F.log("pages") - F.col("s") / F.col("pages")) / F.log("pages")).otherwise(1.0).alias("h")
         )
 
     both = entropy("style").alias("p").join(entropy("content").select("host", "path", F.col("h").alias("hc")), ["host", "path"])
     weight = F.pow(F.lit(GAMMA), F.col("kinds"))
-    return both.select("host", "path", "pages", "main", ((1 - weight) * F.col("h") + weight * F.col("hc")).alias("importance"))
+    return both.select("host", "path", "pages", "place", "hc", ((1 - weight) * F.col("h") + weight * F.col("hc")).alias("importance"))
+
+
+def template(tree: DataFrame, low: float, least_pages: int) -> DataFrame:
+    """host, path of the branches, and hashes of the lines in article or main elements, that are template."""
+    nodes = importance(tree)
+    enough = F.col("pages") >= least_pages
+    branches = nodes.where((F.col("importance") < low) & enough & ((F.col("place") == OUTSIDE) | ((F.col("place") == WITHIN) & (F.col("hc") < low)))).select("host", "path")
+    often = tree.where(F.col("style").isNull() & (F.col("c") >= least_pages)).select("host", "path", "content", "c")
+    lines = often.join(nodes.select("host", "path", "pages"), ["host", "path"])
+    # the entropy of a line over the pages that hold its element
+    lines = lines.where((1 - F.log("c") / F.log("pages") < low) & (F.col("c") >= LEAST_SHARE * F.col("pages"))).select("host", F.col("content").alias("path"))
+    return branches.unionByName(lines)
 
 
 def _extractor(batches):
@@ -250,7 +288,7 @@ def _extractor(batches):
 
 def main_text(pages: DataFrame, low: float = LOW, least_pages: int = LEAST_PAGES) -> DataFrame:
     """page_id, url, text, n_chars for every row."""
-    gone = importance(pages).where((F.col("importance") < low) & (F.col("pages") >= least_pages) & ~F.col("main"))
+    gone = template(style_tree(pages), low, least_pages)
     gone = materialise(gone.groupBy("host").agg(F.collect_list("path").alias("removed")), "style-removed")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     rows = rows.withColumn("host", host_of(F.col("url")))

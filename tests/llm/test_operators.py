@@ -204,3 +204,12 @@ def test_toxic_words_that_count_only_when_they_keep_coming(spark):
     chain = toxicity.fit(docs.where("doc_id < 400"), labels.where("doc_id < 400"))
     got = {r["doc_id"]: r["toxic"] for r in toxicity.toxicity_scores(docs.where("doc_id >= 400"), chain).collect()}
     assert got == {i: i % 6 == 0 for i in range(400, 600)}
+
+
+def test_style_tree_within_articles(spark):
+    """Repeated blocks in an article go, with a class of their own or as lines among others; the article's own text stays."""
+    page = "<body><article><h1>Title {0}</h1><p>Read our other titles too.</p><p>text number {0}</p><div class='k'><p>same on each page</p></div></article></body>"
+    rows = [(i, f"http://site/{i}", page.format(i)) for i in range(12)]
+    rows += [(20 + i, "http://copies/", f"<nav>{i}</nav><main><p>one text on all pages</p></main>") for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Title {i}\ntext number {i}" for i in range(12)} | {20 + i: "one text on all pages" for i in range(6)}
