@@ -8,7 +8,7 @@ at least `LEAST_PAGES` different pages is template and is removed from each page
 
 Hosts with few pages show no template, so a node starts with what its names say: navigation, headers and footers of the
 page, asides, forms, scripts, styles, and elements whose class or id names adverts, menus, notices, comments and the like
-have importance 0; an article or main element has importance 1 together with what stands above it. Where a page has such
+have importance 0; an article or main element has importance 1 together with what stands above it, whatever its names. Where a page has such
 an element, only its text is taken. Branches within it are in the tree as others are, but go only if the entropy of their content is
 low too. A line within it is template by its own entropy: with k of the m pages that hold its element, its importance is
 1 - log k / log m; it goes where that is below `LOW`, on `LEAST_PAGES` pages and half of the m at least. Where nothing would be left of
@@ -52,6 +52,10 @@ CHROME_NAMES = re.compile(
     r"|share|sharing|social|related|recommended|recirc|newsletter|subscribe|subscription|signup|login|search|pagination|pager|skip|copyright)(?:$|[-_\s\d])"
 )
 LANDMARKS = {"article", "main"}
+#: Elements that their names never mark; those that are headings within an article; words that name headings there.
+UNNAMED = {"html", "body", "article", "main"}
+HEADS = {"h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup"}
+HEAD_NAMES = re.compile(r"(?<![^-_\s])(?:header|masthead)(?![^-_\s\d])")
 #: Elements that end an open paragraph; others of their kind that end with the next sibling.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -62,10 +66,11 @@ _SPACE = re.compile(r"[\s ]+")
 
 
 class Node:
-    __slots__ = ("tag", "path", "chrome", "own", "landmark", "parts", "children")
+    __slots__ = ("tag", "path", "shut", "named", "land", "chrome", "own", "landmark", "parent", "parts", "children")
 
-    def __init__(self, tag: str, path: int, chrome: bool, own: bool, landmark: bool):
-        self.tag, self.path, self.chrome, self.own, self.landmark = tag, path, chrome, own, landmark
+    def __init__(self, tag: str, path: int, parent: Node | None = None, shut: bool = False, named: str = "", land: bool = False):
+        self.tag, self.path, self.parent, self.shut, self.named, self.land = tag, path, parent, shut, named, land
+        self.chrome = self.own = self.landmark = False
         self.parts: list[str | Node | None] = []
         self.children: list[Node] = []
 
@@ -77,24 +82,54 @@ def _hash(*parts) -> int:
 def _node(name: str, attrs: str, parent: Node) -> Node:
     known = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attrs)} if attrs else {}
     names = f"{known.get('class', '')} {known.get('id', '')}".strip().lower()
-    # the head of an article is its title; the page's own header isn't
-    chrome = name in CHROME or (name == "header" and not _within(parent)) or known.get("role", "").lower() in CHROME_ROLES or "hidden" in known
-    chrome = chrome or bool(names and name not in ("html", "body", "article", "main") and CHROME_NAMES.search(names))
-    landmark = name in LANDMARKS or known.get("role", "").lower() == "main"
-    own = landmark and not (chrome or parent.chrome)
-    node = Node(name, _hash(parent.path, name, names), chrome or parent.chrome, own, own or parent.landmark)
+    shut = parent.shut or name in CHROME or known.get("role", "").lower() in CHROME_ROLES or "hidden" in known
+    land = name in LANDMARKS or known.get("role", "").lower() == "main"
+    node = Node(name, _hash(parent.path, name, names), parent, shut, names if names and CHROME_NAMES.search(names) else "", land)
     parent.parts.append(node)
     parent.children.append(node)
     return node
 
 
-def _within(node: Node) -> bool:
-    return node.landmark
+def _mark(root: Node) -> None:
+    """Sets chrome, own (is an article or main element) and landmark (is within one or is one) of each node.
+
+    Names mark nothing that stands above an article or main element, and within one neither its headings nor what holds
+    the page's first h1. Articles within an article, as of comments, and articles with a name of their own don't count there, unless the
+    page would be left without any.
+    """
+    order = list(_walk(root))
+    lands = [n for n in order if n.land and not n.shut]
+    nested = set()
+    for n in order:
+        if n.parent.tag == "article" or id(n.parent) in nested:
+            nested.add(id(n))
+    sure = [n for n in lands if n.tag != "article" or not (n.named or id(n) in nested)]
+    holds = set()
+    for n in sure or lands:
+        while n is not None and id(n) not in holds:
+            holds.add(id(n))
+            n = n.parent
+    title = next((n for n in order if n.tag == "h1"), root)
+    titled = set()
+    while title.parent is not None:
+        title = title.parent
+        titled.add(id(title))
+    for node in order:
+        up = node.parent
+        chrome = node.shut or up.chrome
+        if not chrome and not up.landmark:
+            # the head of an article is its title; the page's own header isn't
+            chrome = (node.tag == "header" or bool(node.named)) and node.tag not in UNNAMED and id(node) not in holds
+        elif not chrome and node.named and node.tag not in UNNAMED and node.tag not in HEADS:
+            chrome = id(node) not in holds and id(node) not in titled and bool(CHROME_NAMES.search(HEAD_NAMES.sub(" ", node.named)))
+        node.chrome = chrome
+        node.own = node.land and not chrome
+        node.landmark = node.own or up.landmark
 
 
 def parse(text: str) -> Node:
     """The element tree, in one pass; parts of a node: texts, block elements, and None for a line break."""
-    root = Node("", 0, False, False, False)
+    root = Node("", 0)
     stack = [root]
     at, end = 0, len(text)
     while at < end:
@@ -136,7 +171,7 @@ def parse(text: str) -> Node:
             continue
         if name in INLINE and name not in RAW:
             attrs = m[0][named.end() : -1]
-            if not (attrs and CHROME_NAMES.search(" ".join((x[2] or x[3] or x[4] or "") for x in _ATTR.finditer(attrs)).lower())):
+            if stack[-1].tag in HEADS or not (attrs and CHROME_NAMES.search(" ".join((x[2] or x[3] or x[4] or "") for x in _ATTR.finditer(attrs)).lower())):
                 continue
             # an inline advert, share link or the like: its text up to its own end tag goes
             close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(text, at)
@@ -157,6 +192,7 @@ def parse(text: str) -> Node:
             at = close.end() if close else end
         elif not m[0].endswith("/>") or name not in ("svg", "path"):
             stack.append(node)
+    _mark(root)
     return root
 
 

@@ -213,3 +213,17 @@ def test_style_tree_within_articles(spark):
     rows += [(20 + i, "http://copies/", f"<nav>{i}</nav><main><p>one text on all pages</p></main>") for i in range(6)]
     got = {r["page_id"]: r["text"] for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: f"Title {i}\ntext number {i}" for i in range(12)} | {20 + i: "one text on all pages" for i in range(6)}
+
+
+def test_names_above_articles_and_on_headings():
+    text = lambda page: pages.blocks(pages.parse(page))
+    for name in ("site has-sidebar", "no-sidebar", "header-fixed page"):
+        assert text(f"<body><div class='{name}'><nav>n</nav><div class='sidebar'>s</div><article><p>text</article></div>") == ["text"]
+        assert text(f"<body><main><div class='{name}'><article><p>text</article></div></main>") == ["text"]
+    assert text("<body><div class='no-sidebar'><article class='post category-social'><p>text</article></div>") == ["text"]
+    heads = "<header class='entry-header'><h1>a</h1></header><div class='banner'><h1>x</h1></div><h2 class='section-header'>b <span class='header-text'>c</span></h2><div class='section-header'><h3>d</h3></div>"
+    assert text(f"<body><article>{heads}<p>text</article>") == ["a", "b c", "d", "text"]
+    assert text("<body><article><div class='banner'><h1>a</h1></div><p>text</article>") == ["a", "text"]
+    # what names marked rightly stays marked
+    comments = "<div id='comments'><article class='comment'><p>c</article></div>"
+    assert text(f"<body><header>h</header><div class='header'>h</div><main><article><p>text</p>{comments}<div class='related'><h3>r</h3></div></article>{comments}</main><div class='footer'>z") == ["text"]
