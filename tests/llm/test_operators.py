@@ -227,3 +227,13 @@ def test_names_above_articles_and_on_headings():
     # what names marked rightly stays marked
     comments = "<div id='comments'><article class='comment'><p>c</article></div>"
     assert text(f"<body><header>h</header><div class='header'>h</div><main><article><p>text</p>{comments}<div class='related'><h3>r</h3></div></article>{comments}</main><div class='footer'>z") == ["text"]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens_as_in_the_library(name):
+    from tokenizers import Tokenizer
+
+    path = packing.default_path(name)
+    library, enc = Tokenizer.from_file(path), packing.encoder(path)
+    texts = ["plain first", "see <|endoftext|> here", "<|startoftext|>é<|endoftext|>", "<|ENDOFTEXT|> <|endoftext"]
+    assert [x.tolist() for x in enc.many(texts)] == [library.encode(x, add_special_tokens=False).ids for x in texts]
