@@ -6,14 +6,16 @@ A turn's text is a message as it stands, or a JSON object that carries tool use:
 - {"tool_calls": [{"id": ..., "name": ..., "arguments": {...} or its JSON text}], "content": ...} calls them;
 - {"tool_call_id": ..., "content": ...} is a call's result.
 
-Calls are joined with their results by (conversation, identifier) and with their tools by (conversation, name), both by
-hash. Messages are ordered topologically: by turn, but a result that stands before its call comes right behind it; a result
+A result belongs to the nearest earlier call of its identifier in the conversation, or, where there is none, to the first later one; found
+in runs of `RUN` turns first and then across runs, so that an identifier used in every turn isn't gathered in one task either. Calls
+are joined with their tools by (conversation, name), by hash. Messages are ordered topologically: by turn, but a result that stands before its call comes right behind it; a result
 depends on one call alone, so that its place, (place_turn, place_rank, turn), follows from the join without sorting a
 conversation. Arguments are checked against the tool's schema (type, required, properties, additionalProperties, enum, items). Each message is
 serialised as canonical JSON: sorted keys, no spaces, characters as they are. A message is a row; no conversation is gathered in one task.
 
 Defined results: a null text is empty content; a null role is "user"; text that isn't such a JSON object is plain content; of
-calls or tools that share an identifier the first turn's counts; a result without its call is marked `orphan` and stays at its turn; a call
+tools that share a name the first turn's counts; every call counts, those with a repeated identifier, one that isn't a string (1 is not "1")
+or none too; a result without its call is marked `orphan` and stays at its turn; a call
 without result is marked `open`; rows with a null conv_id or turn are formatted and never linked; repeated rows are each
 formatted; further columns are ignored; an empty table gives an empty result.
 """
@@ -23,12 +25,14 @@ from __future__ import annotations
 import json
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, table
 
 SALTS = 16
+#: Turns within which calls and results are linked at once.
+RUN = 1024
 PART = "kind string, conv_id long, turn long, idx int, name string, key string, body string"
 
 
@@ -43,6 +47,11 @@ def _loads(text):
         return None
 
 
+def _key(x) -> str | None:
+    """An identifier as a string; one that isn't a string differs from all that are."""
+    return x if x is None or isinstance(x, str) else "\x00" + canonical(x)
+
+
 def violations(value, schema, at: str = "$") -> list[str]:
     """What of the schema the value breaks, as "place: rule"."""
     if not isinstance(schema, dict):
@@ -88,12 +97,12 @@ def _parts(batches):
                 if isinstance(tool, dict) and isinstance(tool.get("name"), str):
                     rows.append(("tool", conv, turn, i, tool["name"], None, canonical(tool.get("parameters") or {})))
             for i, call in enumerate(x["tool_calls"] if isinstance(x.get("tool_calls"), list) else []):
-                if isinstance(call, dict) and isinstance(call.get("id"), str):
+                if isinstance(call, dict):
                     args = call.get("arguments")
                     parsed = _loads(args) if isinstance(args, str) else args
-                    rows.append(("call", conv, turn, i, str(call.get("name")), call["id"], canonical(parsed if parsed is not None else args)))
-            if isinstance(x.get("tool_call_id"), str):
-                rows.append(("result", conv, turn, 0, None, x["tool_call_id"], None))
+                    rows.append(("call", conv, turn, i, str(call.get("name")), _key(call.get("id")), canonical(parsed if parsed is not None else args)))
+            if x.get("tool_call_id") is not None:
+                rows.append(("result", conv, turn, 0, None, _key(x["tool_call_id"]), None))
         if rows:
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["kind", "conv_id", "turn", "idx", "name", "key", "body"])
@@ -104,7 +113,7 @@ def _checked(batches):
         errors = []
         for body, schema in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
             errors.append(["unknown tool"] if schema is None else violations(_loads(body), _loads(schema)))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(errors, pa.list_(pa.string()))], names=["conv_id", "turn", "key", "errors"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(errors, pa.list_(pa.string()))], names=["conv_id", "turn", "call", "errors"])
 
 
 def _serialiser(batches):
@@ -113,7 +122,7 @@ def _serialiser(batches):
         for role, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             x = _loads(text) if text and text.lstrip()[:1] == "{" else None
             message = {"role": role if role is not None else "user"}
-            if isinstance(x, dict) and isinstance(x.get("tool_call_id"), str):
+            if isinstance(x, dict) and x.get("tool_call_id") is not None:
                 message |= {"tool_call_id": x["tool_call_id"], "content": x.get("content", "")}
             elif isinstance(x, dict) and isinstance(x.get("tool_calls"), list):
                 message |= {"content": x.get("content", ""), "tool_calls": [c | {"arguments": _loads(c["arguments"]) if isinstance(c.get("arguments"), str) and _loads(c["arguments"]) is not None else c.get("arguments")} if isinstance(c, dict) else c for c in x["tool_calls"]]}
@@ -125,6 +134,25 @@ def _serialiser(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *batch.columns[4:], pa.array(out, pa.string())], names=["conv_id", "turn", *batch.schema.names[4:], "message"])
 
 
+def _link(calls: DataFrame, results: DataFrame) -> DataFrame:
+    """conv_id, key, result_turn, call for each result; call: the nearest before its turn, else the first at it or later, or null."""
+    none = F.lit(None).cast("struct<turn:long,idx:int,h:long>")
+    # at one turn results come first, as a call before them has an earlier turn
+    both = calls.where("key is not null").select("conv_id", "key", F.col("call.turn").alias("at"), F.lit(1).alias("late"), "call")
+    both = both.unionByName(results.select("conv_id", "key", F.col("result_turn").alias("at"), F.lit(0).alias("late"), none.alias("call")))
+    both = both.withColumn("run", F.floor(F.col("at") / RUN))
+    inside = Window.partitionBy("conv_id", "key", "run").orderBy("at", "late", "call")
+    near = both.withColumn("before", F.last("call", True).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    near = near.withColumn("after", F.first("call", True).over(inside.rowsBetween(0, Window.unboundedFollowing))).where("late = 0")
+    runs = Window.partitionBy("conv_id", "key").orderBy("run")
+    far = both.groupBy("conv_id", "key", "run").agg(F.max("call").alias("hi"), F.min("call").alias("lo"))
+    far = far.select(
+        "conv_id", "key", "run", F.last("hi", True).over(runs.rowsBetween(Window.unboundedPreceding, -1)).alias("hi"), F.first("lo", True).over(runs.rowsBetween(1, Window.unboundedFollowing)).alias("lo")
+    )
+    out = near.join(far, ["conv_id", "key", "run"], "left")
+    return out.select("conv_id", "key", F.col("at").alias("result_turn"), F.coalesce("before", "hi", "after", "lo").alias("call"))
+
+
 def format_chats(turns: DataFrame) -> DataFrame:
     """conv_id, turn, place_turn, place_rank, n_calls, n_open, orphan, errors, message for every row."""
     rows = turns.select(
@@ -136,15 +164,17 @@ def format_chats(turns: DataFrame) -> DataFrame:
     if not parts.isEmpty():
         first = lambda df, by: df.groupBy("conv_id", by).agg(F.min_by(F.struct("turn", "idx", "name", "body"), F.struct("turn", "idx", "body")).alias("x"))
         tools = first(parts.where("kind = 'tool'"), "name").select("conv_id", "name", F.col("x.body").alias("schema"))
-        calls = first(parts.where("kind = 'call'"), "key").select("conv_id", "key", "x.turn", "x.name", "x.body")
+        calls = parts.where("kind = 'call'").select("conv_id", "turn", "idx", "name", "key", "body").distinct()
+        calls = calls.withColumn("call", F.struct("turn", "idx", F.xxhash64("name", "key", "body").alias("h")))
         results = parts.where("kind = 'result'").select("conv_id", "key", F.col("turn").alias("result_turn")).distinct()
-        checked = calls.join(tools, ["conv_id", "name"], "left").select("conv_id", "turn", "key", "body", "schema")
-        checked = checked.mapInArrow(_checked, "conv_id long, turn long, key string, errors array<string>")
-        answered = results.groupBy("conv_id", "key").agg(F.min("result_turn").alias("result_turn"))
-        by_call = checked.join(answered, ["conv_id", "key"], "left").groupBy("conv_id", "turn").agg(
-            F.count("*").alias("n_calls"), F.sum(F.when(F.col("result_turn").isNull(), 1).otherwise(0)).alias("n_open"), F.array_sort(F.flatten(F.collect_list("errors"))).alias("errors")
+        linked = materialise(_link(calls.select("conv_id", "key", "call"), results), "chat-linked")
+        checked = calls.join(tools, ["conv_id", "name"], "left").select("conv_id", "turn", "call", "body", "schema")
+        checked = checked.mapInArrow(_checked, "conv_id long, turn long, call struct<turn:long,idx:int,h:long>, errors array<string>")
+        answered = linked.where("call is not null").select("conv_id", "call", F.lit(True).alias("answered")).distinct()
+        by_call = checked.join(answered, ["conv_id", "call"], "left").groupBy("conv_id", "turn").agg(
+            F.count("*").alias("n_calls"), F.sum(F.when(F.col("answered").isNull(), 1).otherwise(0)).alias("n_open"), F.array_sort(F.flatten(F.collect_list("errors"))).alias("errors")
         )
-        by_result = results.join(calls.select("conv_id", "key", F.col("turn").alias("call_turn")), ["conv_id", "key"], "left").groupBy("conv_id", F.col("result_turn").alias("turn")).agg(F.min("call_turn").alias("call_turn"), F.lit(True).alias("is_result"))
+        by_result = linked.groupBy("conv_id", F.col("result_turn").alias("turn")).agg(F.min("call.turn").alias("call_turn"), F.lit(True).alias("is_result"))
         info = materialise(by_call.join(by_result, ["conv_id", "turn"], "full"), "chat-links")
     else:
         info = turns.sparkSession.createDataFrame([], "conv_id long, turn long, n_calls long, n_open long, errors array<string>, call_turn long, is_result boolean")

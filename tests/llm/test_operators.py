@@ -237,3 +237,15 @@ def test_added_tokens_as_in_the_library(name):
     library, enc = Tokenizer.from_file(path), packing.encoder(path)
     texts = ["plain first", "see <|endoftext|> here", "<|startoftext|>é<|endoftext|>", "<|ENDOFTEXT|> <|endoftext"]
     assert [x.tolist() for x in enc.many(texts)] == [library.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_chats_with_repeated_identifiers(spark):
+    tool = {"tools": [{"name": "f", "parameters": {"type": "object", "properties": {"a": {"type": "integer"}}}}]}
+    call = lambda *calls: json.dumps({"tool_calls": [{"id": i, "name": "f", "arguments": {"a": a}} for i, a in calls]})
+    result = lambda i: json.dumps({"tool_call_id": i, "content": "r"})
+    texts = {0: json.dumps(tool), 1: call(("call_0", 1)), 2: result("call_0"), 3: call(("call_0", "x")), 4: result("call_0"), 5: call(("call_0", 2), (7, "y"), (None, 3)), 6: result(7), 3000: result("call_0"), 3001: result("7")}
+    rows = [(1, t, "assistant", x) for t, x in texts.items()] + [(2, 5, "tool", result("a")), (2, 5000, "assistant", call(("a", 1)))]
+    got = {(r["conv_id"], r["turn"]): r for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert {t: (got[1, t]["n_calls"], got[1, t]["n_open"], got[1, t]["errors"]) for t in (1, 3, 5)} == {1: (1, 0, ""), 3: (1, 0, "$.a: type"), 5: (3, 1, "$.a: type")}
+    assert [got[1, t]["orphan"] for t in (2, 4, 6, 3000, 3001)] == [False] * 4 + [True]
+    assert all(got[1, t]["place_turn"] == t for t in texts) and (got[2, 5]["place_turn"], got[2, 5]["place_rank"], got[2, 5000]["n_open"]) == (5000, 1, 0)
