@@ -10,7 +10,8 @@ A result belongs to the nearest earlier call of its identifier in the conversati
 in runs of `RUN` turns first and then across runs, so that an identifier used in every turn isn't gathered in one task either. Calls
 are joined with their tools by (conversation, name), by hash. Messages are ordered topologically: by turn, but a result that stands before its call comes right behind it; a result
 depends on one call alone, so that its place, (place_turn, place_rank, turn), follows from the join without sorting a
-conversation. Arguments are checked against the tool's schema (type, required, properties, additionalProperties, enum, items). Each message is
+conversation. Arguments are checked against the tool's schema (JSON Schema's keywords for values, with $ref within
+the schema; `format` is a note; a keyword or $ref that isn't followed is reported as unsupported). Each message is
 serialised as canonical JSON: sorted keys, no spaces, characters as they are. A message is a row; no conversation is gathered in one task.
 
 Defined results: a null text is empty content; a null role is "user"; text that isn't such a JSON object is plain content; of
@@ -23,6 +24,10 @@ formatted; further columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import json
+import re
+from fractions import Fraction
+from math import isfinite
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -31,6 +36,8 @@ from pyspark.sql import functions as F
 from .common import materialise, table
 
 SALTS = 16
+#: White space before a JSON object.
+JSON_SPACE = " \t\n\r"
 #: Turns within which calls and results are linked at once.
 RUN = 1024
 PART = "kind string, conv_id long, turn long, idx int, name string, key string, body string"
@@ -52,40 +59,151 @@ def _key(x) -> str | None:
     return x if x is None or isinstance(x, str) else "\x00" + canonical(x)
 
 
-def violations(value, schema, at: str = "$") -> list[str]:
-    """What of the schema the value breaks, as "place: rule"."""
+_NUMBER = lambda v: isinstance(v, (int, float)) and not isinstance(v, bool)
+_KINDS = {
+    "object": lambda v: isinstance(v, dict),
+    "array": lambda v: isinstance(v, list),
+    "string": lambda v: isinstance(v, str),
+    "integer": lambda v: isinstance(v, int) and not isinstance(v, bool) or isinstance(v, float) and v.is_integer(),
+    "number": _NUMBER,
+    "boolean": lambda v: isinstance(v, bool),
+    "null": lambda v: v is None,
+}
+#: By keyword: the kind of values it is for, and whether a value v keeps the limit x.
+_LIMITS = {
+    "minimum": ("number", lambda v, x: v >= x),
+    "maximum": ("number", lambda v, x: v <= x),
+    "exclusiveMinimum": ("number", lambda v, x: v > x),
+    "exclusiveMaximum": ("number", lambda v, x: v < x),
+    "multipleOf": ("number", lambda v, x: x <= 0 or isfinite(v) and (Fraction(str(v)) / Fraction(str(x))).denominator == 1),
+    "minLength": ("string", lambda v, x: len(v) >= x),
+    "maxLength": ("string", lambda v, x: len(v) <= x),
+    "minItems": ("array", lambda v, x: len(v) >= x),
+    "maxItems": ("array", lambda v, x: len(v) <= x),
+    "minProperties": ("object", lambda v, x: len(v) >= x),
+    "maxProperties": ("object", lambda v, x: len(v) <= x),
+}
+_UNSUPPORTED = ("unevaluatedProperties", "unevaluatedItems", "$dynamicRef", "$recursiveRef")
+
+
+def _same(a, b) -> bool:
+    """Equality of JSON values: 1 is 1.0 and isn't true."""
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(_same, a, b))
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(_same(v, b[k]) for k, v in a.items())
+    return isinstance(a, bool) == isinstance(b, bool) and a == b
+
+
+def _matches(pattern: str, text: str) -> bool | None:
+    try:
+        return re.search(pattern, text) is not None
+    except re.error:
+        return None
+
+
+def _target(root, ref):
+    """(schema,) that a $ref within the root names, else None."""
+    if not isinstance(ref, str) or not (ref == "#" or ref.startswith("#/")):
+        return None
+    at = root
+    for part in ref.split("/")[1:]:
+        part = unquote(part).replace("~1", "/").replace("~0", "~")
+        if isinstance(at, dict) and part in at:
+            at = at[part]
+        elif isinstance(at, list) and part.isdigit() and int(part) < len(at):
+            at = at[int(part)]
+        else:
+            return None
+    return (at,)
+
+
+def violations(value, schema, at: str = "$", root=None, refs: tuple = ()) -> list[str]:
+    """What of the schema the value breaks, as "place: rule". refs: those followed at this value, so that a circle ends."""
+    if schema is False:
+        return [f"{at}: false"]
     if not isinstance(schema, dict):
         return []
-    kinds = {
-        "object": lambda v: isinstance(v, dict),
-        "array": lambda v: isinstance(v, list),
-        "string": lambda v: isinstance(v, str),
-        "integer": lambda v: isinstance(v, int) and not isinstance(v, bool) or isinstance(v, float) and v.is_integer(),
-        "number": lambda v: isinstance(v, (int, float)) and not isinstance(v, bool),
-        "boolean": lambda v: isinstance(v, bool),
-        "null": lambda v: v is None,
-    }
-    found = []
+    root = schema if root is None else root
+    has = lambda k, kind: isinstance(schema.get(k), kind)
+    here = lambda x: violations(value, x, at, root, refs)
+    below = lambda v, x, place: violations(v, x, place, root)
+    found = [f"{at}: unsupported {k}" for k in _UNSUPPORTED if k in schema]
+    if "$ref" in schema:
+        ref, target = schema["$ref"], _target(root, schema["$ref"])
+        if target is None:
+            found.append(f"{at}: unsupported $ref")
+        elif ref not in refs:
+            found += violations(value, target[0], at, root, (*refs, ref))
     kind = schema.get("type")
     wanted = kind if isinstance(kind, list) else [kind] if isinstance(kind, str) else []
-    if wanted and not any(k in kinds and kinds[k](value) for k in wanted):
-        return [f"{at}: type"]
-    if isinstance(schema.get("enum"), list) and value not in schema["enum"]:
+    if wanted and not any(k in _KINDS and _KINDS[k](value) for k in wanted):
+        return [*found, f"{at}: type"]
+    if has("enum", list) and not any(_same(value, x) for x in schema["enum"]):
         found.append(f"{at}: enum")
+    if "const" in schema and not _same(value, schema["const"]):
+        found.append(f"{at}: const")
+    for k, (kind, keeps) in _LIMITS.items():
+        # the booleans of older drafts make the limit beside them exclusive
+        limit = schema.get({"exclusiveMinimum": "minimum", "exclusiveMaximum": "maximum"}[k]) if schema.get(k) is True and k.startswith("exclusive") else schema.get(k)
+        if _NUMBER(limit) and _KINDS[kind](value) and not keeps(value, limit):
+            found.append(f"{at}: {k}")
+    if isinstance(value, str) and has("pattern", str):
+        hit = _matches(schema["pattern"], value)
+        if not hit:
+            found.append(f"{at}: pattern" if hit is False else f"{at}: unsupported pattern")
     if isinstance(value, dict):
-        known = schema.get("properties") if isinstance(schema.get("properties"), dict) else {}
-        found += [f"{at}.{k}: required" for k in schema.get("required") or [] if k not in value]
+        known = schema["properties"] if has("properties", dict) else {}
+        patterns = schema["patternProperties"] if has("patternProperties", dict) else {}
+        found += [f"{at}.{k}: required" for k in (schema["required"] if has("required", list) else []) if k not in value]
+        found += [f"{at}: unsupported pattern" for p in patterns if _matches(p, "") is None]
         for k, v in value.items():
-            if k in known:
-                found += violations(v, known[k], f"{at}.{k}")
-            elif schema.get("additionalProperties") is False:
+            by = [known[k]] if k in known else []
+            by += [x for p, x in patterns.items() if _matches(p, k)]
+            for x in by:
+                found += below(v, x, f"{at}.{k}")
+            if not by and schema.get("additionalProperties") is False:
                 found.append(f"{at}.{k}: additional")
-    if isinstance(value, list) and "items" in schema:
+            elif not by and has("additionalProperties", dict):
+                found += below(v, schema["additionalProperties"], f"{at}.{k}")
+            if "propertyNames" in schema and below(k, schema["propertyNames"], at):
+                found.append(f"{at}.{k}: propertyNames")
+        for word in ("dependentRequired", "dependentSchemas", "dependencies"):
+            for k, x in schema[word].items() if has(word, dict) else ():
+                if k in value:
+                    found += [f"{at}.{n}: required" for n in x if n not in value] if isinstance(x, list) else here(x)
+    if isinstance(value, list):
+        fixed = schema["prefixItems"] if has("prefixItems", list) else schema["items"] if has("items", list) else []
+        rest = schema.get("additionalItems") if has("items", list) else schema.get("items")
         for i, v in enumerate(value):
-            found += violations(v, schema["items"], f"{at}[{i}]")
+            found += below(v, fixed[i] if i < len(fixed) else rest, f"{at}[{i}]")
+        if schema.get("uniqueItems") is True and any(_same(v, w) for i, v in enumerate(value) for w in value[:i]):
+            found.append(f"{at}: uniqueItems")
+        if "contains" in schema:
+            n = sum(not below(v, schema["contains"], at) for v in value)
+            least, most = schema.get("minContains", 1), schema.get("maxContains")
+            if _NUMBER(least) and n < least or _NUMBER(most) and n > most:
+                found.append(f"{at}: contains")
+    for x in schema["allOf"] if has("allOf", list) else ():
+        found += here(x)
+    if has("anyOf", list) and all(here(x) for x in schema["anyOf"]):
+        found.append(f"{at}: anyOf")
+    if has("oneOf", list) and sum(not here(x) for x in schema["oneOf"]) != 1:
+        found.append(f"{at}: oneOf")
+    if "not" in schema and not here(schema["not"]):
+        found.append(f"{at}: not")
+    if "if" in schema:
+        found += here(schema.get("else" if here(schema["if"]) else "then"))
     return found
 
 
+def _violations(value, schema) -> list[str]:
+    try:
+        return violations(value, schema)
+    except RecursionError:
+        return ["$: unsupported depth"]
+
+
 def _parts(batches):
     for batch in batches:
         rows = []
@@ -95,7 +213,7 @@ def _parts(batches):
                 continue
             for i, tool in enumerate(x["tools"] if isinstance(x.get("tools"), list) else []):
                 if isinstance(tool, dict) and isinstance(tool.get("name"), str):
-                    rows.append(("tool", conv, turn, i, tool["name"], None, canonical(tool.get("parameters") or {})))
+                    rows.append(("tool", conv, turn, i, tool["name"], None, canonical({} if tool.get("parameters") is None else tool["parameters"])))
             for i, call in enumerate(x["tool_calls"] if isinstance(x.get("tool_calls"), list) else []):
                 if isinstance(call, dict):
                     args = call.get("arguments")
@@ -112,7 +230,7 @@ def _checked(batches):
     for batch in batches:
         errors = []
         for body, schema in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-            errors.append(["unknown tool"] if schema is None else violations(_loads(body), _loads(schema)))
+            errors.append(["unknown tool"] if schema is None else _violations(_loads(body), _loads(schema)))
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(errors, pa.list_(pa.string()))], names=["conv_id", "turn", "call", "errors"])
 
 
@@ -120,7 +238,7 @@ def _serialiser(batches):
     for batch in batches:
         out = []
         for role, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            x = _loads(text) if text and text.lstrip()[:1] == "{" else None
+            x = _loads(text) if text and text.lstrip(JSON_SPACE)[:1] == "{" else None
             message = {"role": role if role is not None else "user"}
             if isinstance(x, dict) and x.get("tool_call_id") is not None:
                 message |= {"tool_call_id": x["tool_call_id"], "content": x.get("content", "")}
@@ -158,7 +276,9 @@ def format_chats(turns: DataFrame) -> DataFrame:
     rows = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")
     )
-    tooled = rows.where("ltrim(text) like '{%' and conv_id is not null and turn is not null and (contains(text, 'tool'))")
+    tooled = rows.where(F.ltrim("text", F.lit(JSON_SPACE)).startswith("{") & F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
+    # a key may be written with escapes
+    tooled = tooled.where(F.contains("text", F.lit("tool")) | F.contains("text", F.lit("\\u")))
     parts = materialise(tooled.select("conv_id", "turn", "text").mapInArrow(_parts, PART), "chat-parts")
     info = None
     if not parts.isEmpty():

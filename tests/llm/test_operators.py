@@ -249,3 +249,24 @@ def test_chats_with_repeated_identifiers(spark):
     assert {t: (got[1, t]["n_calls"], got[1, t]["n_open"], got[1, t]["errors"]) for t in (1, 3, 5)} == {1: (1, 0, ""), 3: (1, 0, "$.a: type"), 5: (3, 1, "$.a: type")}
     assert [got[1, t]["orphan"] for t in (2, 4, 6, 3000, 3001)] == [False] * 4 + [True]
     assert all(got[1, t]["place_turn"] == t for t in texts) and (got[2, 5]["place_turn"], got[2, 5]["place_rank"], got[2, 5000]["n_open"]) == (5000, 1, 0)
+
+
+def test_chats_after_white_space(spark):
+    call = json.dumps({"tool_calls": [{"id": "1", "name": "f", "arguments": {}}]})
+    rows = [(1, 1, "assistant", "\n\t\r " + call), (2, 1, "assistant", call.replace("tool_", "\\u0074ool_")), (3, 1, "user", "\u00a0" + call)]
+    got = {r["conv_id"]: r for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert [(got[i]["n_calls"], got[i]["errors"], "tool_calls" in json.loads(got[i]["message"])) for i in (1, 2, 3)] == [(1, "unknown tool", True)] * 2 + [(0, "", False)]
+
+
+def test_schema_keywords():
+    broken = [
+        (1, {"minimum": 2}), (3, {"maximum": 2}), (2, {"exclusiveMinimum": 2}), (2, {"minimum": 2, "exclusiveMinimum": True}), (0.35, {"multipleOf": 0.1}), ("a", {"minLength": 2}),
+        ("abc", {"maxLength": 2}), ("abc", {"pattern": "^b"}), (True, {"const": 1}), (1, {"enum": [True]}), ([], {"minItems": 1}), ([1, 1.0], {"uniqueItems": True}), ([1], {"contains": {"type": "string"}}),
+        ({"a": 1}, {"maxProperties": 0}), ({"a": 1}, {"patternProperties": {"^a": {"type": "string"}}}), ({"a": 1}, {"additionalProperties": {"type": "string"}}), ({"a": 1}, {"propertyNames": {"minLength": 2}}),
+        ({"a": 1}, {"dependentRequired": {"a": ["b"]}}), (1, {"anyOf": [{"type": "string"}, {"minimum": 2}]}), (1, {"oneOf": [{}, {"minimum": 0}]}), (1, {"allOf": [{"minimum": 2}]}), (1, {"not": {}}),
+        (1, {"if": {"minimum": 0}, "then": {"minimum": 2}}), ([1, "x"], {"prefixItems": [{}, {"type": "integer"}]}), ({"a": {"a": 1}}, {"$ref": "#/$defs/n", "$defs": {"n": {"type": "object", "properties": {"a": {"$ref": "#/$defs/n"}}}}}),
+        (1, {"$ref": "http://elsewhere"}), ({}, {"unevaluatedProperties": False}), ("x", {"pattern": "("}), (1, False),
+    ]
+    assert [x for x in broken if not chat.violations(*x)] == []
+    kept = [(2, {"minimum": 2, "maximum": 2}), (0.3, {"multipleOf": 0.1}), (1.0, {"const": 1}), ("ab", {"pattern": "b"}), ({"a": 1}, {"patternProperties": {"^a": {}}, "additionalProperties": False}), ({"a": {}}, {"$ref": "#"}), (1, {"format": "x", "minLength": 3}), (1, {"oneOf": [{"minimum": 2}, {}]})]
+    assert [x for x in kept if chat.violations(*x)] == []
