@@ -13,7 +13,7 @@ another), which is linear in the bucket. Members of buckets that still hold diff
 prefix filtering of their shingle sets: they meet only on shingles that few of them hold. Each pair is verified on its whole shingle sets, and classes are the connected components of verified links.
 
 Defined results: null, empty or word-free texts are in a class of their own each; a text of one to four words has one
-shingle, all its words; repeated rows of a doc_id are one document; a null doc_id gives no row; ties go to the smallest doc_id;
+shingle, all its words; repeated rows of a doc_id are one document; a null doc_id gives no row (near_dedup keeps such rows: see there); ties go to the smallest doc_id;
 further columns are ignored; an empty table gives an empty result.
 """
 
@@ -266,6 +266,24 @@ def _classes(signed: DataFrame, exact: DataFrame, labels: DataFrame | None) -> D
 
 
 def near_dedup(docs: DataFrame, **options) -> DataFrame:
-    """The documents of which doc_id is the smallest of its class; one row of a repeated doc_id."""
-    kept = near_duplicates(docs, **options).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """The documents of which doc_id is the smallest of its class.
+
+    Rows without a doc_id, and those of a doc_id with different texts, are judged by their texts, those without doc_id last; rows
+    that repeat a doc_id and its text are one document; rows without doc_id and without words are kept each.
+    """
+    digest = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest"))
+    odd = ids.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("doc_id is null or lo < hi")
+    if odd.isEmpty():
+        kept = near_duplicates(docs, **options).where("kept").select("doc_id")
+        return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    # each pair of doc_id and text has a number, in their order
+    at = lambda by: F.concat_ws("/", F.col("doc_id").cast("long").cast("string"), by).alias("_at")
+    order = [F.col("doc_id").asc_nulls_last(), F.col("digest")]
+    pairs = ids.distinct().repartitionByRange(*order).sortWithinPartitions(*order).select(at(F.col("digest")), F.monotonically_increasing_id().alias("_key"))
+    keyed = docs.select("*", at(digest), F.monotonically_increasing_id().alias("_own"))
+    keyed = materialise(_salted_join(keyed, materialise(pairs, "dedup-pairs"), "_at", "_own").drop("_at"), "dedup-keyed")
+    kept = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), **options).where("kept").select(F.col("doc_id").alias("_key"))
+    rows = _salted_join(keyed, kept, "_key", "_own", how="left_semi")
+    bare = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return rows.withColumn("_own", F.when(bare, F.col("_own"))).dropDuplicates(["_key", "_own"]).select(*docs.columns)

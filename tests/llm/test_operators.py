@@ -270,3 +270,14 @@ def test_schema_keywords():
     assert [x for x in broken if not chat.violations(*x)] == []
     kept = [(2, {"minimum": 2, "maximum": 2}), (0.3, {"multipleOf": 0.1}), (1.0, {"const": 1}), ("ab", {"pattern": "b"}), ({"a": 1}, {"patternProperties": {"^a": {}}, "additionalProperties": False}), ({"a": {}}, {"$ref": "#"}), (1, {"format": "x", "minLength": 3}), (1, {"oneOf": [{"minimum": 2}, {}]})]
     assert [x for x in kept if chat.violations(*x)] == []
+
+
+def test_near_dedup_without_ids(spark):
+    """Null and repeated ids with different texts are judged by their texts."""
+    text = lambda k: " ".join(f"v{k}x{i}" for i in range(40))
+    rows = [(1, text(1)), (2, text(2)), (None, text(3)), (None, text(3)), (None, text(4)), (None, text(1)), (5, text(5)), (5, text(6)), (5, text(6)), (7, text(5)), (None, ""), (None, None), (None, " "), (8, ""), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["text"]) for r in near_dedup.near_dedup(docs).collect())
+    assert got == Counter([(1, text(1)), (2, text(2)), (None, text(3)), (None, text(4)), (5, text(5)), (5, text(6)), (None, ""), (None, None), (None, " "), (8, ""), (9, "")])
+    plain = near_dedup.near_dedup(docs.where("doc_id < 5 or doc_id > 7"))
+    assert sorted(r["doc_id"] for r in plain.collect()) == [1, 2, 8, 9]
