@@ -26,17 +26,18 @@ def _scored(spark, sf: str) -> DataFrame:
 
 
 def lexical_richness(spark, sf: str) -> DataFrame:
-    words = parquet(spark, sf, "documents").select("doc_id", F.explode(T.ascii_tokens(F.col("text"))).alias("w"))
-    c = words.groupBy("doc_id", "w").agg(F.count("*").alias("c"))
-    s = c.groupBy("doc_id").agg(F.sum("c").alias("n"), F.count("*").alias("u"), F.sum(F.when(F.col("c") == 1, 1).otherwise(0)).alias("h"), F.sum(F.col("c") * F.col("c")).alias("m2"))
+    words = parquet(spark, sf, "documents").select("doc_id", F.explode_outer(T.ascii_tokens(F.col("text"))).alias("w"))
+    # a document without words has one row without a word, which counts nothing
+    c = words.groupBy("doc_id", "w").agg(F.count("w").alias("c"))
+    s = c.groupBy("doc_id").agg(F.greatest(F.sum("c"), F.lit(1)).alias("n"), F.count("w").alias("u"), F.sum(F.when(F.col("c") == 1, 1).otherwise(0)).alias("h"), F.sum(F.col("c") * F.col("c")).alias("m2"))
     n, u, h, m2 = (F.col(x) for x in ("n", "u", "h", "m2"))
     return s.select(
         "doc_id",
         (100.0 * u / n).alias("type_token_ratio"),
         F.least(u / F.sqrt(n) / 15 * 100, F.lit(100.0)).alias("root_ttr"),
-        (100.0 * h / u).alias("hapax_ratio"),
+        (100.0 * h / F.greatest(u, F.lit(1))).alias("hapax_ratio"),
         F.when(m2 > n, 10000.0 * (m2 - n) / (n * n)).otherwise(0.0).alias("yules_k"),
-        F.pow(n.cast("double"), F.pow(u.cast("double"), F.lit(-0.172))).alias("brunets_w"),
+        F.when(u > 0, F.pow(n.cast("double"), F.pow(u.cast("double"), F.lit(-0.172)))).otherwise(0.0).alias("brunets_w"),
         F.when((h == 0) | (h == u), 0.0).otherwise(100 * F.log(n) / (1 - h / u)).alias("honores_r"),
     )
 
@@ -87,15 +88,15 @@ def pair_wer_rouge_l(spark, sf: str) -> DataFrame:
 
 
 def word_measures(spark, sf: str) -> DataFrame:
-    w = parquet(spark, sf, "documents").select("doc_id", F.explode(T.ascii_tokens(F.col("text"))).alias("w"))
+    w = parquet(spark, sf, "documents").select("doc_id", F.explode_outer(T.ascii_tokens(F.col("text"))).alias("w"))
     # each word of a document is measured once
-    c = w.groupBy("doc_id", "w").agg(F.count("*").alias("c")).withColumn("s", T.syllables(F.col("w")))
-    n, long = F.sum("c"), (F.col("s") >= 3) & (F.length("w") >= 7)
+    c = w.groupBy("doc_id", "w").agg(F.count("w").alias("c")).withColumn("s", T.syllables(F.col("w")))
+    n, long = F.greatest(F.sum("c"), F.lit(1)), (F.col("s") >= 3) & (F.length("w") >= 7)
     share = lambda x: 100.0 * F.sum(F.when(x, F.col("c")).otherwise(0)) / n
     return c.groupBy("doc_id").agg(
         F.sum(F.col("c") * F.col("s")).alias("n_syllables"),
         F.sum(F.when(T.is_complex(F.col("w")), F.col("c")).otherwise(0)).alias("n_complex"),
-        (F.sum(F.col("c") * F.length("w")) / n).alias("avg_word_length"),
+        (F.coalesce(F.sum(F.col("c") * F.length("w")), F.lit(0)) / n).alias("avg_word_length"),
         share(long).alias("lexical_sophistication"),
     )
 

@@ -89,3 +89,11 @@ def test_syllables(spark):
     got = spark.createDataFrame([(w,) for w in words], "w string").select("w", T.syllables(F.col("w")).alias("s"), T.is_complex(F.col("w")).alias("c")).collect()
     assert {r["w"]: r["s"] for r in got if r["w"] not in ("whale", "relatedly")} == {w: n for w, n in words.items() if w not in ("whale", "relatedly")}
     assert {r["w"] for r in got if r["c"]} == {"beautiful", "relatedly", "table"}
+
+
+def test_measures_of_documents_without_words(spark, tmp_path):
+    texts = ["a b a", None, "", "12 34", "слово", " "]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("lexical_richness", "word_measures"):
+        got = {r["doc_id"]: r[1:] for r in plans.queries()[name](spark, str(tmp_path)).collect()}
+        assert got.keys() == set(range(6)) and all(got[0][:1]) and all(x == 0 for i in range(1, 6) for x in got[i])
