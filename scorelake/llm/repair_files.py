@@ -2,7 +2,7 @@
 
 Documents are dealt by ranges of doc_id into shards; a shard is a run of blocks of about `BLOCK` ids, whole documents each.
 In a block the most frequent pairs of neighbouring symbols within documents are replaced by nonterminals, again and again,
-until no pair is frequent. The block stores the rules, the expansion length of each nonterminal, and where each document's
+until no pair is frequent; each block has a grammar of its own. The block stores the rules, the expansion length of each nonterminal, and where each document's
 symbols begin, so that one document is decoded without the others. A block is one binary value in a row of the shard's
 file, which Spark writes and reads, so that files may lie in any store and a lost task leaves nothing behind.
 
@@ -28,13 +28,13 @@ from .common import materialise, scratch_path, table
 from .tokens import default_path, encoder
 
 MAGIC, END_ID = 0x52505231, 1
-#: Ids in a block, ids in a shard, rounds of pair replacement, pairs replaced in one round, least count of a pair.
-BLOCK, SHARD, ROUNDS, PAIRS, LEAST = 1 << 16, 1 << 22, 8, 256, 8
+#: Ids in a block, ids in a shard, pairs replaced in one round, least count of a pair.
+BLOCK, SHARD, PAIRS, LEAST = 1 << 16, 1 << 22, 256, 8
 _BUCKET_BITS = 18
 
 
 def _pairs(seq: np.ndarray, first: np.ndarray, least: int, most: int) -> np.ndarray:
-    """Sorted keys (left << 32 | right) of the most frequent pairs within documents, those of at least half the best count."""
+    """Sorted keys (left << 32 | right) of the most frequent pairs within documents, those of at least a quarter of the best count."""
     key = (seq[:-1] << np.uint64(32)) | seq[1:]
     key = key[~first[1:]]
     bucket = (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _BUCKET_BITS)).astype(np.int64)
@@ -47,7 +47,7 @@ def _pairs(seq: np.ndarray, first: np.ndarray, least: int, most: int) -> np.ndar
     return np.sort(values[order])
 
 
-def compress(ids: np.ndarray, lengths: np.ndarray, rounds: int = ROUNDS, most: int = PAIRS, least: int = LEAST):
+def compress(ids: np.ndarray, lengths: np.ndarray, most: int = PAIRS, least: int = LEAST):
     """(rules, expansion lengths, first nonterminal, symbols, symbols by document) of documents laid end to end."""
     seq = ids.astype(np.uint64)
     first = np.zeros(len(seq) + 1, bool)
@@ -55,9 +55,8 @@ def compress(ids: np.ndarray, lengths: np.ndarray, rounds: int = ROUNDS, most: i
     first = first[: len(seq)]
     base = int(seq.max()) + 1 if len(seq) else 1
     rules, size = np.zeros((0, 2), np.uint64), np.ones(0, np.int64)
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    # each round makes the symbols fewer
+    while len(seq) >= 2:
         chosen = _pairs(seq, first, least, most)
         if not len(chosen):
             break

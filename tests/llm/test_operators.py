@@ -281,3 +281,13 @@ def test_near_dedup_without_ids(spark):
     assert got == Counter([(1, text(1)), (2, text(2)), (None, text(3)), (None, text(4)), (5, text(5)), (5, text(6)), (None, ""), (None, None), (None, " "), (8, ""), (9, "")])
     plain = near_dedup.near_dedup(docs.where("doc_id < 5 or doc_id > 7"))
     assert sorted(r["doc_id"] for r in plain.collect()) == [1, 2, 8, 9]
+
+
+def test_repair_goes_on_until_no_pair_is_frequent():
+    docs = [np.zeros(60000, np.uint32), np.tile(np.arange(7, dtype=np.uint32), 700)]
+    rules_, size, base, seq, symbols = repair_files.compress(np.concatenate(docs), np.array([len(x) for x in docs]))
+    first = np.zeros(len(seq), bool)
+    first[np.concatenate([[0], np.cumsum(symbols)[:-1]])] = True
+    assert not len(repair_files._pairs(seq, first, repair_files.LEAST, 1)) and len(seq) < 60
+    block = repair_files.Block(repair_files.encode_block([0, 1], docs))
+    assert all(np.array_equal(a, b) for a, b in zip(block.all(), docs, strict=True))
