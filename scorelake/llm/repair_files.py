@@ -11,7 +11,7 @@ rules (two uint32 each), expansion lengths (uint32), doc ids (int64), a byte for
 null, each document's symbols and ids (uint32), the symbols.
 
 Defined results: null and empty texts are the end id alone; a null doc_id comes first; rows that repeat a doc_id are written
-each, in order of their checksums; further columns are ignored; an empty table gives an empty result.
+each, in an order fixed by their texts; further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,27 +24,40 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, scratch_path, table
+from .common import scratch_path, table
 from .tokens import default_path, encoder
 
 MAGIC, END_ID = 0x52505231, 1
-#: Ids in a block, ids in a shard, pairs replaced in one round, least count of a pair.
-BLOCK, SHARD, PAIRS, LEAST = 1 << 16, 1 << 22, 256, 8
-_BUCKET_BITS = 18
+#: Ids in a block, bytes of text in a shard, pairs replaced in one round, least count of a pair.
+BLOCK, SHARD, PAIRS, LEAST = 1 << 16, 1 << 24, 1024, 8
+_BUCKETS = 1 << 16
 
 
-def _pairs(seq: np.ndarray, first: np.ndarray, least: int, most: int) -> np.ndarray:
-    """Sorted keys (left << 32 | right) of the most frequent pairs within documents, those of at least a quarter of the best count."""
+def _frequent(seq: np.ndarray, first: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs, places, pair of each place): the most frequent pairs within documents, those of at least a quarter of the
+    best count, in order of their keys (left << 32 | right).
+
+    Pairs are counted by hash bucket first; only those of buckets that reach the count are sorted."""
     key = (seq[:-1] << np.uint64(32)) | seq[1:]
-    key = key[~first[1:]]
-    bucket = (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _BUCKET_BITS)).astype(np.int64)
-    held = np.bincount(bucket, minlength=1 << _BUCKET_BITS)
-    values, counts = np.unique(key[held[bucket] >= least], return_counts=True)
-    on = counts >= least
-    values, counts = values[on], counts[on]
-    order = np.lexsort((values, -counts))[:most]
-    order = order[counts[order] * 4 >= counts[order[:1]]] if len(order) else order
-    return np.sort(values[order])
+    bucket = (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.int64)
+    bucket[first[1:]] = _BUCKETS
+    held = np.bincount(bucket, minlength=_BUCKETS + 1)
+    held[_BUCKETS] = 0
+    floor = max(least, int(held.max()) // 4)
+    while True:
+        at = np.flatnonzero(held[bucket] >= floor)
+        values, of, counts = np.unique(key[at], return_inverse=True, return_counts=True)
+        best = int(counts.max()) if len(counts) else 0
+        # a bucket of several pairs may have set the floor too high
+        if floor == least or best >= floor:
+            break
+        floor = max(least, min(best, floor // 2))
+    on = np.flatnonzero(counts >= max(least, best // 4))
+    on = np.sort(on[np.lexsort((on, -counts[on]))[:most]])
+    rank = np.full(len(values), -1, np.int64)
+    rank[on] = np.arange(len(on))
+    of = rank[of]
+    return values[on], at[of >= 0], of[of >= 0]
 
 
 def compress(ids: np.ndarray, lengths: np.ndarray, most: int = PAIRS, least: int = LEAST):
@@ -57,24 +70,20 @@ def compress(ids: np.ndarray, lengths: np.ndarray, most: int = PAIRS, least: int
     rules, size = np.zeros((0, 2), np.uint64), np.ones(0, np.int64)
     # each round makes the symbols fewer
     while len(seq) >= 2:
-        chosen = _pairs(seq, first, least, most)
-        if not len(chosen):
+        pairs, hit, of = _frequent(seq, first, least, most)
+        if not len(pairs):
             break
-        key = (seq[:-1] << np.uint64(32)) | seq[1:]
-        at = np.minimum(np.searchsorted(chosen, key), len(chosen) - 1)
-        hit = np.flatnonzero((chosen[at] == key) & ~first[1:])
         # of pairs that overlap, every other one from the left
         begins = np.concatenate([[True], np.diff(hit) > 1])
         run = np.maximum.accumulate(np.where(begins, np.arange(len(hit)), 0))
-        hit = hit[(np.arange(len(hit)) - run) % 2 == 0]
-        new = np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], axis=1)
-        long = lambda x: np.where(x < base, 1, size[np.maximum(x.astype(np.int64) - base, 0)] if len(size) else 1)  # noqa: E731, B023
-        grown = long(new[:, 0]) + long(new[:, 1])
-        seq[hit] = at[hit].astype(np.uint64) + np.uint64(base + len(rules))
-        rules, size = np.concatenate([rules, new]), np.concatenate([size, grown])
-        stay = np.ones(len(seq), bool)
-        stay[hit + 1] = False
-        seq, first = seq[stay], first[stay]
+        stays = (np.arange(len(hit)) - run) % 2 == 0
+        hit, of = hit[stays], of[stays]
+        new = np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], axis=1)
+        held = np.concatenate([[1], size])
+        size = np.concatenate([size, held[np.maximum(new.astype(np.int64) - (base - 1), 0)].sum(axis=1)])
+        seq[hit] = of.astype(np.uint64) + np.uint64(base + len(rules))
+        rules = np.concatenate([rules, new])
+        seq, first = np.delete(seq, hit + 1), np.delete(first, hit + 1)
     starts = np.flatnonzero(first)
     return rules, size, base, seq, np.diff(np.concatenate([starts, [len(seq)]]))
 
@@ -129,26 +138,13 @@ class Block:
         return np.split(self._expand(self.symbols), np.cumsum(self.lengths)[:-1])
 
 
-def _tokens(path: str, end_id: int):
-    def run(batches):
-        enc = encoder(path)
-        end = np.array([end_id], np.uint32)
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                ids = [np.concatenate([x, end]).astype("<u4") for x in enc.many(part.column(1).to_pylist())]
-                raw = [x.tobytes() for x in ids]
-                crc = pa.array([zlib.crc32(x) for x in raw], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(raw, pa.binary()), pa.array([len(x) for x in ids], pa.int64()), crc], names=["doc_id", "ids", "n", "crc"])
-
-    return run
-
-
 BLOCK_ROW = "shard int, block int, before long, n_tokens long, data binary"
 
 
-def _writer(block: int):
+def _writer(path: str, end_id: int, block: int):
     def run(batches):
+        enc = encoder(path)
+        end = np.array([end_id], "<u4").tobytes()
         shard, k, before = TaskContext.get().partitionId(), 0, 0
         names, docs, held = [], [], 0
 
@@ -159,14 +155,16 @@ def _writer(block: int):
             )
 
         for batch in batches:
-            for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.frombuffer(raw.as_buffer(), "<u4")
-                if docs and held + len(ids) > block:
-                    yield made()
-                    k, before, names, docs, held = k + 1, before + held, [], [], 0
-                names.append(doc)
-                docs.append(ids)
-                held += len(ids)
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                for doc, raw in zip(part.column(0).to_pylist(), enc.raws(part.column(1).to_pylist()), strict=True):
+                    ids = np.frombuffer(raw + end, "<u4")
+                    if docs and held + len(ids) > block:
+                        yield made()
+                        k, before, names, docs, held = k + 1, before + held, [], [], 0
+                    names.append(doc)
+                    docs.append(ids)
+                    held += len(ids)
         if docs:
             yield made()
 
@@ -174,15 +172,19 @@ def _writer(block: int):
 
 
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, block: int = BLOCK, shard: int = SHARD) -> None:
-    """Writes the ids of every row to `path`, shards in ascending order of doc_id."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tokens = materialise(rows.mapInArrow(_tokens(tokenizer or default_path("word_bpe_49k.json"), end_id), "doc_id long, ids binary, n long, crc long"), "repair-ids")
-    shards = max(1, -(-(tokens.agg(F.sum("n").alias("n")).first()["n"] or 0) // shard))
-    dealt = tokens.repartitionByRange(shards, "doc_id", "crc").sortWithinPartitions("doc_id", "crc")
-    dealt.select("doc_id", "ids").mapInArrow(_writer(block), BLOCK_ROW).write.option("compression", "zstd").parquet(path)
-
-
-def _reader(bases: dict[int, int]):
+    """Writes the ids of every row to `path`, shards in ascending order of doc_id: texts are dealt by ranges of doc_id, and
+    each shard's task encodes, compresses and writes them as they come, a block in memory at a time."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    held = rows.agg(F.sum(F.octet_length("text") + 1).alias("n")).first()["n"] or 0
+    # rows of one doc_id in the order of a hash, which deals them to several shards as well
+    keys = ["doc_id", F.xxhash64("text")]
+    dealt = rows.repartitionByRange(max(1, -(-held // shard)), *keys).sortWithinPartitions(*keys)
+    written = dealt.mapInArrow(_writer(tokenizer or default_path("word_bpe_49k.json"), end_id, block), BLOCK_ROW)
+    written.write.option("compression", "zstd").parquet(path)
+
+
+def _reader(bases: dict[int, int], digest: bool):
     def run(batches):
         for batch in batches:
             for shard, before, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
@@ -190,23 +192,25 @@ def _reader(bases: dict[int, int]):
                 n = pa.array(got.lengths, pa.int64())
                 start = pa.array(np.cumsum(got.lengths) - got.lengths + bases[shard] + before, pa.int64())
                 raw = [x.astype("<u4").tobytes() for x in got.all()]
-                yield pa.RecordBatch.from_arrays([pa.array(got.doc_ids, pa.int64()), start, n, pa.array(raw, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
+                last = pa.array([zlib.crc32(x) for x in raw], pa.int64()) if digest else pa.array(raw, pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(got.doc_ids, pa.int64()), start, n, last], names=["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
 
     return run
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids (little-endian uint32) of every document of the files."""
+def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
+    """doc_id, start, n_tokens, ids (little-endian uint32) of every document of the files; ids_crc32 for ids with `digest`."""
     rows = spark.read.schema(BLOCK_ROW).parquet(path)
-    # one number for each shard (some four million ids): what the driver keeps
+    # one number for each shard (some megabytes of text): what the driver keeps
     bases, total = {}, 0
     for r in rows.groupBy("shard").agg(F.sum("n_tokens").alias("n")).orderBy("shard").collect():
         bases[r["shard"]] = total
         total += r["n"]
-    return rows.select("shard", "before", "data").mapInArrow(_reader(bases), "doc_id long, start long, n_tokens long, ids binary")
+    kind = "ids_crc32 long" if digest else "ids binary"
+    return rows.select("shard", "before", "data").mapInArrow(_reader(bases, digest), f"doc_id long, start long, n_tokens long, {kind}")
 
 
 def op5_repair_token_files(spark, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "repair-files")
     write(table(spark, sf_dir, "documents"), path)
-    return read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read(spark, path, digest=True)
