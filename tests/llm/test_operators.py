@@ -134,7 +134,7 @@ def test_nearest(spark):
     x = rng.normal(size=(300, 8)).astype(np.float32)
     x[50:150] = x[50]
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(400, None), (420, [0.0] * 8), (440, [float("nan")] * 8), (None, [1.0] * 8)]
-    got = nearest.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=5, probed=1.0).toPandas()
+    got = nearest.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=5, per_list=400, groups=3, unit=40).toPandas()
     ids = np.arange(300)
     for q, g in got.groupby("query_id"):
         s = (x.astype(float) * x[q].astype(float)).sum(axis=1)
@@ -143,6 +143,23 @@ def test_nearest(spark):
     assert set(got["query_id"]) == set(range(0, 300, 20))
 
 
+def test_nearest_with_many_lists(spark):
+    """Clustered vectors: few lists are probed, units and query blocks are cut, and at least 0.9 of the neighbours are found."""
+    rng = np.random.default_rng(5)
+    x = (rng.normal(size=(40, 16)).repeat(100, axis=0) + 0.3 * rng.normal(size=(4000, 16))).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(x)], "vec_id long, embedding array<float>, list int")
+    index = nearest.Index(x.astype(float), len(x), 10)
+    assert len(index.lists) > 100 and index.probed < len(index.lists) / 2
+    got = nearest.search(table, k=10, unit=20, query_block=50).toPandas()
+    found = []
+    for q, g in got.groupby("query_id"):
+        s = x.astype(float) @ x[q].astype(float)
+        s[q] = -np.inf
+        found.append(len(set(g["vec_id"]) & set(np.argsort(-s)[:10])) / 10)
+        assert np.allclose(g.sort_values("rank")["score"], np.sort(s[g["vec_id"]])[::-1], atol=1e-12)
+    assert len(found) == 200 and np.mean(found) >= 0.9
+
+
 def test_page_text(spark):
     page = "<html><body><nav>a</nav><div class='sidebar x'>b</div><article><header><h1>T &amp; U</h1></header><p>one<br>two <b>three</b><p>four<div id='comments'>c</div><form>f</form></article><footer>z"
     rows = [(1, "http://h/1", page), (2, None, None), (3, "http://h/2", ""), (4, "http://h/3", "plain <"), (5, "http://h/4", "<div>t<script>never")]
@@ -174,10 +191,12 @@ def test_classifiers(spark, docs):
     assert len(tox) == docs.count() and tox["p_toxic"].between(0, 1).all()
 
 
-def test_empty_tables(spark):
+def test_empty_tables(spark, tmp_path):
     none = spark.createDataFrame([], DOC)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert near_dedup.near_duplicates(none).count() == 0
+    repair_files.write(none, str(tmp_path / "none"))
+    assert repair_files.read(spark, str(tmp_path / "none")).count() == 0
     assert mixing.mix(none).count() == 0
     assert packing.pack_documents(none).count() == 0
     assert rules.judge(rules.statistics(none), rules.cutoffs(rules.statistics(none), labels)).count() == 0
@@ -288,6 +307,6 @@ def test_repair_goes_on_until_no_pair_is_frequent():
     rules_, size, base, seq, symbols = repair_files.compress(np.concatenate(docs), np.array([len(x) for x in docs]))
     first = np.zeros(len(seq), bool)
     first[np.concatenate([[0], np.cumsum(symbols)[:-1]])] = True
-    assert not len(repair_files._pairs(seq, first, repair_files.LEAST, 1)) and len(seq) < 60
+    assert not len(repair_files._frequent(seq, first, repair_files.LEAST, 1)[0]) and len(seq) < 60
     block = repair_files.Block(repair_files.encode_block([0, 1], docs))
     assert all(np.array_equal(a, b) for a, b in zip(block.all(), docs, strict=True))
