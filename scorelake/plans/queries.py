@@ -1,4 +1,4 @@
-"""Queries of the engine on the driver's tables, with their SQL."""
+"""Queries of the engine on the driver's tables; their SQL is in plans.sql."""
 
 from __future__ import annotations
 
@@ -6,13 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import analytics, pairs, sequences
+from ..functions.rounding import exact_round
+from ..operators import analytics, constraints, faithfulness, pairs, writing
 from ..sources.tables import parquet, turn_pairs
+from . import sql
 
 KEYS = ["conv_id", "turn"]
 WEIGHTS = {"ttr": 0.6, "redundancy": -0.4}
 
 
+def _documents(spark, sf: str) -> DataFrame:
+    return parquet(spark, sf, "documents").select("doc_id", "text")
+
+
 def token_stats(spark, sf: str) -> DataFrame:
     words = parquet(spark, sf, "documents").select("doc_id", "lang", "source", T.tokens(F.col("text")).alias("w"))
     grams = words.select("doc_id", "lang", "source", "w", T.ngrams(F.col("w"), 3).alias("g"))
@@ -25,49 +31,81 @@ def _scored(spark, sf: str) -> DataFrame:
     return token_stats(spark, sf).withColumn("score", analytics.composite(WEIGHTS))
 
 
-def lexical_richness(spark, sf: str) -> DataFrame:
-    words = parquet(spark, sf, "documents").select("doc_id", F.explode_outer(T.ascii_tokens(F.col("text"))).alias("w"))
-    # a document without words has one row without a word, which counts nothing
-    c = words.groupBy("doc_id", "w").agg(F.count("w").alias("c"))
-    s = c.groupBy("doc_id").agg(F.greatest(F.sum("c"), F.lit(1)).alias("n"), F.count("w").alias("u"), F.sum(F.when(F.col("c") == 1, 1).otherwise(0)).alias("h"), F.sum(F.col("c") * F.col("c")).alias("m2"))
-    n, u, h, m2 = (F.col(x) for x in ("n", "u", "h", "m2"))
-    return s.select(
-        "doc_id",
-        (100.0 * u / n).alias("type_token_ratio"),
-        F.least(u / F.sqrt(n) / 15 * 100, F.lit(100.0)).alias("root_ttr"),
-        (100.0 * h / F.greatest(u, F.lit(1))).alias("hapax_ratio"),
-        F.when(m2 > n, 10000.0 * (m2 - n) / (n * n)).otherwise(0.0).alias("yules_k"),
-        F.when(u > 0, F.pow(n.cast("double"), F.pow(u.cast("double"), F.lit(-0.172)))).otherwise(0.0).alias("brunets_w"),
-        F.when((h == 0) | (h == u), 0.0).otherwise(100 * F.log(n) / (1 - h / u)).alias("honores_r"),
-    )
-
-
 def composite_balanced(spark, sf: str) -> DataFrame:
     return _scored(spark, sf).select("doc_id", "score")
 
 
 def zscore_by_lang(spark, sf: str) -> DataFrame:
-    return analytics.zscores(_scored(spark, sf).select("doc_id", "lang", "score"), "lang", "score")
+    # scored once: the statistics and the rows read the same narrow rows
+    return analytics.zscores(_scored(spark, sf).select("doc_id", "lang", "score").persist(), "lang", "score")
 
 
 def stats_by_lang(spark, sf: str) -> DataFrame:
-    return analytics.group_stats(_scored(spark, sf), "lang", "score")
+    return analytics.group_stats(_scored(spark, sf), "lang", "score", median=True)
 
 
 def leaderboard(spark, sf: str) -> DataFrame:
     return analytics.leaderboard(_scored(spark, sf), "lang", "source", "score")
 
 
+def word_facts(spark, sf: str) -> DataFrame:
+    return writing.word_facts(_documents(spark, sf), ["doc_id"])
+
+
+def readability(spark, sf: str) -> DataFrame:
+    return writing.readability(word_facts(spark, sf), ["doc_id"])
+
+
+def lexical_richness(spark, sf: str) -> DataFrame:
+    return writing.lexis(word_facts(spark, sf), ["doc_id"])
+
+
+def structure(spark, sf: str) -> DataFrame:
+    return writing.structure(_documents(spark, sf), ["doc_id"])
+
+
+def tone(spark, sf: str) -> DataFrame:
+    return writing.tone(_documents(spark, sf), ["doc_id"])
+
+
+def repetition(spark, sf: str) -> DataFrame:
+    return writing.repetition(_documents(spark, sf), ["doc_id"])
+
+
+def coherence(spark, sf: str) -> DataFrame:
+    return writing.coherence(writing.links(_documents(spark, sf), ["doc_id"]), ["doc_id"])
+
+
+def sentence_repetition(spark, sf: str) -> DataFrame:
+    return writing.sentence_repetition(writing.links(_documents(spark, sf), ["doc_id"]), ["doc_id"])
+
+
+def _measured(spark, sf: str, measure) -> DataFrame:
+    return pairs.measure_pairs(turn_pairs(spark, sf), "answer", "prompt", KEYS, measure)
+
+
 def pair_sets(spark, sf: str) -> DataFrame:
-    return pairs.set_measures(turn_pairs(spark, sf), "answer", "prompt", KEYS)
+    words = turn_pairs(spark, sf).select(*KEYS, T.tokens(F.col("answer")).alias("h"), T.tokens(F.col("prompt")).alias("r"))
+    h, r = F.col("h"), F.col("r")
+    grams = words.select(*KEYS, "h", "r", T.ngrams(h, 2).alias("h2"), T.ngrams(r, 2).alias("r2"))
+    found = {"jaccard": T.jaccard(h, r), "bigram_overlap": T.jaccard(F.col("h2"), F.col("r2")), "novel_bigrams": T.novelty(F.col("h2"), F.col("r2")), "compression": T.ratio(F.size(h), F.size(r))}
+    return grams.select(*KEYS, *[v.alias(k) for k, v in found.items()]).select(*KEYS, *[exact_round(F.col(k), 4).alias(k) for k in found])
 
 
 def pair_rouge1(spark, sf: str) -> DataFrame:
-    return pairs.rouge_n(turn_pairs(spark, sf), "answer", "prompt", KEYS, 1)
+    return _measured(spark, sf, pairs.rouge_measures(1))
 
 
 def pair_rouge2(spark, sf: str) -> DataFrame:
-    return pairs.rouge_n(turn_pairs(spark, sf), "answer", "prompt", KEYS, 2)
+    return _measured(spark, sf, pairs.rouge_measures(2))
+
+
+def pair_bleu_tfidf(spark, sf: str) -> DataFrame:
+    return _measured(spark, sf, pairs.bleu_measures)
+
+
+def pair_chrf(spark, sf: str) -> DataFrame:
+    return _measured(spark, sf, pairs.chrf_measures)
 
 
 def pair_cer(spark, sf: str) -> DataFrame:
@@ -75,127 +113,65 @@ def pair_cer(spark, sf: str) -> DataFrame:
     return turn_pairs(spark, sf).select(*KEYS, T.ratio(F.levenshtein(a, b), F.length(b)).alias("cer"))
 
 
-def pair_bleu_tfidf(spark, sf: str) -> DataFrame:
-    return pairs.bleu_tfidf(turn_pairs(spark, sf), "answer", "prompt", KEYS)
+def pair_wer_rouge_l(spark, sf: str) -> DataFrame:
+    return _measured(spark, sf, pairs.edit_measures)
 
 
-def pair_chrf(spark, sf: str) -> DataFrame:
-    return pairs.chrf(turn_pairs(spark, sf), "answer", "prompt", KEYS)
+def summary_measures(spark, sf: str) -> DataFrame:
+    return _measured(spark, sf, pairs.summary_measures)
 
 
-def pair_wer_rouge_l(spark, sf: str) -> DataFrame:
-    return sequences.wer_rouge_l(turn_pairs(spark, sf), "answer", "prompt", KEYS)
-
-
-def word_measures(spark, sf: str) -> DataFrame:
-    w = parquet(spark, sf, "documents").select("doc_id", F.explode_outer(T.ascii_tokens(F.col("text"))).alias("w"))
-    # each word of a document is measured once
-    c = w.groupBy("doc_id", "w").agg(F.count("w").alias("c")).withColumn("s", T.syllables(F.col("w")))
-    n, long = F.greatest(F.sum("c"), F.lit(1)), (F.col("s") >= 3) & (F.length("w") >= 7)
-    share = lambda x: 100.0 * F.sum(F.when(x, F.col("c")).otherwise(0)) / n
-    return c.groupBy("doc_id").agg(
-        F.sum(F.col("c") * F.col("s")).alias("n_syllables"),
-        F.sum(F.when(T.is_complex(F.col("w")), F.col("c")).otherwise(0)).alias("n_complex"),
-        (F.coalesce(F.sum(F.col("c") * F.length("w")), F.lit(0)) / n).alias("avg_word_length"),
-        share(long).alias("lexical_sophistication"),
-    )
+def summary_overlaps(spark, sf: str) -> DataFrame:
+    """The measures of summaries that SQL can state: word, n-gram and sentence sets."""
+    names = "lexical_diversity information_density redundancy summary_word_count summary_sent_count jaccard content_word_overlap bigram_overlap compression_ratio coverage sentence_overlap novel_bigram_ratio abstractivity source_word_count"
+    return summary_measures(spark, sf).select(*KEYS, *names.split())
+
+
+def translation_measures(spark, sf: str) -> DataFrame:
+    return _measured(spark, sf, pairs.translation_measures)
+
+
+def translation_overlaps(spark, sf: str) -> DataFrame:
+    names = "jaccard length_ratio length_score lex_div_original lex_div_backtranslation content_word_overlap bigram_overlap sentence_overlap orig_word_count bt_word_count"
+    return translation_measures(spark, sf).select(*KEYS, *names.split())
+
+
+def translation_board(spark, sf: str) -> DataFrame:
+    """Composite by the balanced profile's set measures, and its z-score over all rows."""
+    kept = ("jaccard", "content_word_overlap", "bigram_overlap", "length_score")
+    weights = {k: w for k, w in analytics.TRANSLATION_PROFILES["balanced"].items() if k in kept}
+    scored = translation_overlaps(spark, sf).select(*KEYS, analytics.translation_composite(weights=weights).alias("composite"))
+    return analytics.zscores(scored.persist(), None, "composite", places=4, missing=0.0)
+
+
+def summary_board(spark, sf: str) -> DataFrame:
+    """Composites of the three profiles, with how far each answer keeps to its prompt."""
+    rows = turn_pairs(spark, sf)
+    asked = faithfulness.evaluate(rows, [*KEYS, "answer", "prompt"], "prompt", "answer").withColumn("prompt_adherence", F.col("prompt_faithfulness.overall_adherence"))
+    measured = pairs.measure_pairs(asked, "answer", "prompt", [*KEYS, "prompt_adherence"], pairs.summary_measures)
+    return measured.select(*KEYS, *[analytics.summary_composite(p).alias(p) for p in analytics.SUMMARY_PROFILES])
+
+
+def prompt_faithfulness(spark, sf: str) -> DataFrame:
+    return faithfulness.evaluate(turn_pairs(spark, sf), KEYS, "prompt", "answer").select(*KEYS, "prompt_faithfulness.*")
+
+
+def constraint_adherence(spark, sf: str) -> DataFrame:
+    return constraints.evaluate(turn_pairs(spark, sf), KEYS, "prompt", "answer").select(*KEYS, "n_constraints", "n_passed", "constraint_score")
+
+
+def writing_evaluation(spark, sf: str) -> DataFrame:
+    rows = constraints.evaluate(turn_pairs(spark, sf), [*KEYS, "prompt", "answer"], "prompt", "answer")
+    return writing.evaluate(rows, KEYS, "prompt", None, "answer", "constraint_score")
 
 
 def queries() -> dict:
-    found = [pair_bleu_tfidf, pair_chrf, pair_wer_rouge_l, word_measures]
-    found += [token_stats, lexical_richness, composite_balanced, zscore_by_lang, stats_by_lang, leaderboard, pair_sets, pair_rouge1, pair_rouge2, pair_cer]
+    found = [token_stats, composite_balanced, zscore_by_lang, stats_by_lang, leaderboard]
+    found += [word_facts, readability, lexical_richness, structure, tone, repetition, coherence, sentence_repetition]
+    found += [pair_sets, pair_rouge1, pair_rouge2, pair_bleu_tfidf, pair_chrf, pair_cer, pair_wer_rouge_l]
+    found += [summary_measures, summary_overlaps, translation_measures, translation_overlaps, translation_board, summary_board]
+    found += [prompt_faithfulness, constraint_adherence, writing_evaluation]
     return {f.__name__: f for f in found}
 
 
-_TOK = "regexp_extract_all(lower(coalesce({0}, '')), '[\\p{{L}}\\p{{N}}_]+')"
-
-
-def _grams(w: str, n: int) -> str:
-    inner = " || ' ' || ".join(f"{w}[i + {k}]" for k in range(1, n + 1))
-    return f"list_transform(range(0, greatest(len({w}) - {n - 1}, 0)), lambda i: {inner})"
-
-
-_STATS = f"""words AS (SELECT doc_id, lang, source, {_TOK.format('text')} AS w FROM documents),
-grams AS (SELECT *, {_grams('w', 3)} AS g FROM words),
-stats AS (SELECT doc_id, lang, source, len(w) AS n_tokens, len(list_distinct(w)) AS n_distinct,
-  CASE WHEN len(w) > 0 THEN len(list_distinct(w)) / len(w) ELSE 0 END AS ttr, CASE WHEN len(g) > 0 THEN (len(g) - len(list_distinct(g))) / len(g) ELSE 0 END AS redundancy FROM grams),
-scored AS (SELECT *, CAST((ttr * 0.6::DOUBLE + redundancy * -0.4::DOUBLE) / 1.0::DOUBLE AS DOUBLE) AS score FROM stats)"""
-_PAIRS = """pairs AS (SELECT u.conv_id, u.turn, u.text AS prompt, a.text AS answer FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
-WHERE u.role = 'user' AND a.role = 'assistant')"""
-
-
-def _rouge_sql(n: int) -> str:
-    return f"""WITH {_PAIRS}, w AS (SELECT conv_id, turn, {_TOK.format('answer')} AS h, {_TOK.format('prompt')} AS r FROM pairs),
-g AS (SELECT conv_id, turn, {_grams('h', n)} AS h, {_grams('r', n)} AS r FROM w),
-x AS (SELECT conv_id, turn, unnest(h) AS gram, 1 AS x, 0 AS y FROM g UNION ALL SELECT conv_id, turn, unnest(r), 0, 1 FROM g),
-c AS (SELECT conv_id, turn, gram, sum(x) AS x, sum(y) AS y FROM x GROUP BY ALL),
-m AS (SELECT g.conv_id, g.turn, coalesce(max(len(h)), 0) AS nh, coalesce(max(len(r)), 0) AS nr, coalesce(sum(least(x, y)), 0) AS m FROM g LEFT JOIN c USING (conv_id, turn) GROUP BY ALL),
-p AS (SELECT conv_id, turn, CAST(CASE WHEN nh > 0 THEN m / nh ELSE 0 END AS DOUBLE) AS p, CAST(CASE WHEN nr > 0 THEN m / nr ELSE 0 END AS DOUBLE) AS r FROM m)
-SELECT conv_id, turn, round(p, 4) AS "precision", round(r, 4) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 4) AS f1 FROM p"""
-
-
-_CLIPPED = """c AS (SELECT conv_id, turn, n, gram, sum(x) AS x, sum(y) AS y FROM g GROUP BY ALL),
-m AS (SELECT conv_id, turn, n, sum(least(x, y))::DOUBLE AS m, sum(x)::DOUBLE AS na, sum(y)::DOUBLE AS nb, sum(x * y)::DOUBLE AS dot,
-  sum(x * x * pow(CASE WHEN x > 0 AND y > 0 THEN 1 ELSE ln(1.5::DOUBLE) + 1 END, 2))::DOUBLE AS sa, sum(y * y * pow(CASE WHEN x > 0 AND y > 0 THEN 1 ELSE ln(1.5::DOUBLE) + 1 END, 2))::DOUBLE AS sb FROM c GROUP BY ALL)"""
-
-
-def _orders_sql(made, n: int) -> str:
-    return " UNION ALL ".join(f"SELECT conv_id, turn, {k} AS n, unnest({made(s, k)}) AS gram, {x} AS x, {1 - x} AS y FROM w" for k in range(1, n + 1) for s, x in (("h", 1), ("r", 0)))
-
-
-def _bleu_sql() -> str:
-    mean = ", ".join(f"avg(CASE WHEN m > 0 AND n <= {k} THEN ln(m / na) END) AS l{k}" for k in (1, 2, 4))
-    first = ", ".join(f"max({c}) FILTER (n = 1) AS {c}" for c in ("na", "nb", "dot", "sa", "sb"))
-    bp = "CASE WHEN na < nb THEN exp(1 - nb / na) ELSE 1 END"
-    bleu = ", ".join(f"round(coalesce({bp} * exp(l{k}), 0), 4) AS bleu_{k}" for k in (1, 2, 4))
-    return f"""WITH {_PAIRS}, w AS (SELECT conv_id, turn, {_TOK.format('answer')} AS h, {_TOK.format('prompt')} AS r FROM pairs), g AS ({_orders_sql(_grams, 4)}), {_CLIPPED},
-b AS (SELECT conv_id, turn, {mean}, bool_or(na > 0 AND m = 0) AS missing, {first} FROM m GROUP BY ALL)
-SELECT p.conv_id, p.turn, {bleu}, CASE WHEN missing OR l4 IS NULL THEN 0 ELSE round({bp} * exp(l4), 4) END AS bleu_strict,
-coalesce(CASE WHEN sa * sb > 0 THEN round(dot / (sqrt(sa) * sqrt(sb)), 4) END, 0) AS tfidf_cosine FROM pairs p LEFT JOIN b USING (conv_id, turn)"""
-
-
-def _chrf_sql() -> str:
-    bare = lambda c: f"regexp_replace(lower(coalesce({c}, '')), '\\s+', '', 'g')"
-    made = lambda s, k: f"list_transform(range(1, greatest(length({s}) - {k - 1}, 0) + 1), lambda i: substring({s}, i, {k}))"
-    return f"""WITH {_PAIRS}, w AS (SELECT conv_id, turn, {bare('answer')} AS h, {bare('prompt')} AS r FROM pairs), g AS ({_orders_sql(made, 6)}), {_CLIPPED},
-b AS (SELECT conv_id, turn, avg(m / na) AS p, avg(m / nb) AS q FROM m WHERE na > 0 AND nb > 0 GROUP BY ALL)
-SELECT conv_id, turn, round(CASE WHEN b.p + q > 0 THEN 5 * b.p * q / (4 * b.p + q) ELSE 0 END, 4) AS chrf FROM pairs LEFT JOIN b USING (conv_id, turn)"""
-
-
-def _syllables_sql(w: str) -> str:
-    groups = lambda x: f"len(regexp_extract_all({x}, '[aeiouy]+'))"
-    base = f"(CASE WHEN {w} LIKE '%e' AND {w} NOT LIKE '%le' THEN {groups(f'left({w}, -1)')} ELSE {groups(w)} END + CASE WHEN regexp_matches({w}, '[^aeiouy]le$') THEN 1 ELSE 0 END)"
-    return f"CASE WHEN length({w}) <= 3 THEN 1 WHEN regexp_matches({w}, '(tion|sion|cian)$') THEN greatest({base}, 2) ELSE greatest({base}, 1) END"
-
-
-def _ratio(a: str, b: str) -> str:
-    return f"CAST(CASE WHEN {b} > 0 THEN {a} / {b} ELSE 0 END AS DOUBLE)"
-
-
-def oracle_sql() -> dict[str, str]:
-    union = lambda a, b: f"len(list_distinct(list_concat({a}, {b})))"
-    both = lambda a, b: f"len(list_intersect({a}, {b}))"
-    return {
-        "token_stats": f"WITH {_STATS} SELECT * FROM stats",
-        "lexical_richness": """WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+(?:''[a-z]+)?')) AS w FROM documents),
-c AS (SELECT doc_id, w, count(*) AS c FROM w GROUP BY ALL), s AS (SELECT doc_id, sum(c)::DOUBLE AS n, count(*)::DOUBLE AS u, count(*) FILTER (c = 1)::DOUBLE AS h, sum(c * c)::DOUBLE AS m2 FROM c GROUP BY doc_id)
-SELECT doc_id, 100 * u / n AS type_token_ratio, least(u / sqrt(n) / 15 * 100, 100::DOUBLE) AS root_ttr, 100 * h / u AS hapax_ratio, CASE WHEN m2 > n THEN 10000 * (m2 - n) / (n * n) ELSE 0 END AS yules_k,
-pow(n, pow(u, -0.172::DOUBLE)) AS brunets_w, CASE WHEN h = 0 OR h = u THEN 0 ELSE 100 * ln(n) / (1 - h / u) END AS honores_r FROM s""",
-        "composite_balanced": f"WITH {_STATS} SELECT doc_id, score FROM scored",
-        "zscore_by_lang": f"""WITH {_STATS}, g AS (SELECT lang, avg(score) AS m, stddev_pop(score) AS s, count(score) AS n FROM scored GROUP BY lang)
-SELECT doc_id, d.lang, score, CASE WHEN n > 1 AND s > 1e-12 THEN (score - m) / s ELSE 0 END AS z FROM scored d JOIN g ON d.lang IS NOT DISTINCT FROM g.lang""",
-        "stats_by_lang": f"WITH {_STATS} SELECT lang, count(score) AS n, avg(score) AS mean, stddev_pop(score) AS std, min(score) AS low, max(score) AS high, max(score) - min(score) AS spread FROM scored GROUP BY lang",
-        "leaderboard": f"""WITH {_STATS}, m AS (SELECT lang, source, avg(score) AS score FROM scored GROUP BY ALL)
-SELECT *, CAST(row_number() OVER (PARTITION BY lang ORDER BY round(score, 9) DESC, source NULLS LAST) AS INTEGER) AS rank FROM m""",
-        "pair_sets": f"""WITH {_PAIRS}, w AS (SELECT conv_id, turn, {_TOK.format('answer')} AS h, {_TOK.format('prompt')} AS r FROM pairs), g AS (SELECT *, {_grams('h', 2)} AS h2, {_grams('r', 2)} AS r2 FROM w)
-SELECT conv_id, turn, {_ratio(both('h', 'r'), union('h', 'r'))} AS jaccard, {_ratio(both('h2', 'r2'), union('h2', 'r2'))} AS bigram_overlap,
-{_ratio(f"(len(list_distinct(h2)) - {both('h2', 'r2')})", 'len(list_distinct(h2))')} AS novel_bigrams, {_ratio('len(h)', 'len(r)')} AS compression FROM g""",
-        "pair_rouge1": _rouge_sql(1),
-        "pair_rouge2": _rouge_sql(2),
-        "pair_bleu_tfidf": _bleu_sql(),
-        "pair_chrf": _chrf_sql(),
-        "word_measures": f"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+(?:''[a-z]+)?')) AS w FROM documents),
-c AS (SELECT doc_id, w, count(*) AS c, regexp_replace(w, '(ed|es|ing|ly)$', '') AS v FROM t GROUP BY doc_id, w), s AS (SELECT *, {_syllables_sql('w')} AS s, {_syllables_sql('v')} AS sv FROM c)
-SELECT doc_id, CAST(sum(c * s) AS BIGINT) AS n_syllables, CAST(coalesce(sum(c) FILTER (s >= 3 AND sv >= 3), 0) AS BIGINT) AS n_complex, CAST(sum(c * length(w)) / sum(c) AS DOUBLE) AS avg_word_length,
-CAST(100.0 * coalesce(sum(c) FILTER (s >= 3 AND length(w) >= 7), 0) / sum(c) AS DOUBLE) AS lexical_sophistication FROM s GROUP BY doc_id""",
-    }
+oracle_sql = sql.oracle_sql
