@@ -31,6 +31,8 @@ from .common import Rolling, chunks, list_array, materialise, mix, shingles, spa
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 6
 SALTS = 16
+#: Rows of one key from which it is salted, and the most keys that may be (a larger table raises the first to keep to the second).
+HOT, MOST_HOT = 20_000, 5_000
 CENTRES = 8
 #: Identifiers that may be broadcast (8 bytes each); beyond it the join is shuffled.
 BROADCAST_IDS = 1_000_000
@@ -145,8 +147,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
         exact.select("rep", "n_sh", F.posexplode("bands").alias("band", "h")).select("rep", "n_sh", F.xxhash64("band", "h").alias("h")),
         "dart-buckets",
     )
-    shared = buckets.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    members = materialise(_salted_join(buckets, shared, "h", "rep", how="left_semi"), "dart-shared")
+    shared = buckets.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    members = materialise(_salted_join(buckets, shared, "h", "rep", "left_semi", buckets.count()), "dart-shared")
     if members.isEmpty():
         return _classes(signed, exact, None)
 
@@ -166,17 +168,28 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
         links = found if links is None else links.unionByName(found)
         labels = components(links)
         # buckets whose members are all in one component are done
-        open_ = _labelled(members, labels).groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h")
-        members = materialise(_salted_join(members.select("rep", "n_sh", "h"), open_, "h", "rep", how="left_semi"), "dart-open")
+        open_ = _labelled(members, labels).groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("h", "n")
+        members = materialise(_salted_join(members.select("rep", "n_sh", "h"), open_, "h", "rep", "left_semi", members.count()), "dart-open")
         if turn == 2 or members.isEmpty():
             break
     return _classes(signed, exact, labels)
 
 
-def _salted_join(left: DataFrame, right: DataFrame, key: str, salt_by: str, how: str = "inner") -> DataFrame:
-    """left join right on key, where one key may hold most of left's rows: right's rows are repeated for each salt."""
-    salted = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return left.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int")).join(salted, [key, "_salt"], how).drop("_salt")
+def _salted_join(left: DataFrame, right: DataFrame, key: str, salt_by: str, how: str = "inner", rows: int | None = None) -> DataFrame:
+    """left join right on key, where one key may hold most of left's rows.
+
+    right has one row for each key. With `rows` (of left), it also has the key's number of rows in left, n, and only keys of many
+    rows are salted: at most MOST_HOT, whose names are broadcast. Without, right's rows are repeated for each salt."""
+    salt = F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int")
+    spread = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    if rows is None:
+        salted = right.withColumn("_salt", F.explode(spread))
+        return left.withColumn("_salt", salt).join(salted, [key, "_salt"], how).drop("_salt")
+    hot = F.col("n") > max(HOT, rows // MOST_HOT)
+    salted = right.withColumn("_salt", F.explode(F.when(hot, spread).otherwise(F.array(F.lit(0)))))
+    names = F.broadcast(right.where(hot).select(key, F.lit(True).alias("_hot")))
+    marked = left.join(names, key, "left").withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(0)).drop("_hot")
+    return marked.join(salted if how == "left_semi" else salted.drop("n"), [key, "_salt"], how).drop("_salt")
 
 
 def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -194,8 +207,8 @@ def _star_pairs(members: DataFrame, labels: DataFrame | None, turn: int, similar
 
     Buckets of the same documents have up to CENTRES different centres, so that a group of near copies is met from many sides."""
     m = _labelled(members, labels)
-    centre = m.groupBy("h").agg(F.min_by(F.struct("rep", "n_sh", "c"), F.xxhash64("rep", F.pmod("h", F.lit(CENTRES)), F.lit(turn))).alias("x"))
-    pairs = _salted_join(m, centre, "h", "rep").where("c <> x.c").select(F.least("rep", "x.rep").alias("a"), F.greatest("rep", "x.rep").alias("b"), "n_sh", F.col("x.n_sh").alias("m_sh"))
+    centre = m.groupBy("h").agg(F.min_by(F.struct("rep", "n_sh", "c"), F.xxhash64("rep", F.pmod("h", F.lit(CENTRES)), F.lit(turn))).alias("x"), F.count("*").alias("n"))
+    pairs = _salted_join(m, centre, "h", "rep", rows=members.count()).where("c <> x.c").select(F.least("rep", "x.rep").alias("a"), F.greatest("rep", "x.rep").alias("b"), "n_sh", F.col("x.n_sh").alias("m_sh"))
     return pairs.where(_near_size("n_sh", "m_sh", similarity)).select("a", "b").distinct()
 
 
@@ -212,7 +225,7 @@ def _rest_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, similari
     each = materialise(each, "dart-rest")
     often = each.groupBy("s").agg(F.count("*").alias("n")).where("n > 1")
     # a shingle that one document alone holds links nothing: it only takes up a place at the front
-    known = _salted_join(each, often, "s", "id")
+    known = _salted_join(each, often.withColumn("often", F.col("n")), "s", "id", rows=each.count()).withColumnRenamed("often", "n")
     prefix = known.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "s"))).alias("x"))
     prefix = prefix.join(own.withColumnRenamed("rep", "id"), "id")
     # i: places behind the front of the whole set, from 0; at i, at most n_sh - i shingles can be shared
@@ -220,8 +233,8 @@ def _rest_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, similari
     flat = flat.select("id", "c", "n_sh", F.col("y.s").alias("s"), (F.col("alone") + F.col("at")).alias("i"))
     front = flat.where(F.expr(f"n_sh - i >= {similarity}D * n_sh - 1e-6D"))
     front = materialise(front, "dart-front")
-    mixed = front.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("s")
-    front = materialise(_salted_join(front, mixed, "s", "id", how="left_semi"), "dart-mixed")
+    mixed = front.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("s", "n")
+    front = materialise(_salted_join(front, mixed, "s", "id", "left_semi", front.count()), "dart-mixed")
     # the smaller set (the smaller id, of equal sizes) brings a shorter front still: it shares this part of itself or more
     both = 2 * similarity / (1 + similarity)
     small = front.where(F.expr(f"n_sh - i >= {both}D * n_sh - 1e-6D")).select("s", F.col("id").alias("a"), "c", "n_sh", "i")
@@ -253,16 +266,17 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _classes(signed: DataFrame, exact: DataFrame, labels: DataFrame | None) -> DataFrame:
-    reps = exact.where("n > 1").select("digest", "rep")
-    rows = _salted_join(signed.where("n_sh > 0").select("doc_id", "digest"), reps, "digest", "doc_id", how="left")
+    reps = exact.where("n > 1").select("digest", "rep", "n")
+    held = signed.count()
+    rows = _salted_join(signed.where("n_sh > 0").select("doc_id", "digest"), reps, "digest", "doc_id", "left", held)
     rows = rows.select("doc_id", F.coalesce("rep", "doc_id").alias("rep")).unionByName(signed.where("n_sh = 0").select("doc_id", F.col("doc_id").alias("rep")))
     if labels is not None:
         rows = _salted_join(rows, labels.select(F.col("id").alias("rep"), "label"), "rep", "doc_id", how="left").select("doc_id", F.coalesce("label", "rep").alias("class_id"))
     else:
         rows = rows.withColumnRenamed("rep", "class_id")
     rows = rows.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
-    sizes = rows.groupBy("class_id").agg(F.count("*").alias("class_size"))
-    return _salted_join(rows, sizes, "class_id", "doc_id").select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    sizes = rows.groupBy("class_id").agg(F.count("*").alias("class_size")).withColumn("n", F.col("class_size"))
+    return _salted_join(rows, sizes, "class_id", "doc_id", rows=held).select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
 def near_dedup(docs: DataFrame, **options) -> DataFrame:
@@ -277,13 +291,14 @@ def near_dedup(docs: DataFrame, **options) -> DataFrame:
     if odd.isEmpty():
         kept = near_duplicates(docs, **options).where("kept").select("doc_id")
         return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    # each pair of doc_id and text has a number, in their order
-    at = lambda by: F.concat_ws("/", F.col("doc_id").cast("long").cast("string"), by).alias("_at")
+    # each pair of doc_id and text has a number, in their order; the documents' own columns are one struct
+    at = lambda by: F.concat_ws("/", F.col("doc_id").cast("long").cast("string"), by).alias("at")
     order = [F.col("doc_id").asc_nulls_last(), F.col("digest")]
-    pairs = ids.distinct().repartitionByRange(*order).sortWithinPartitions(*order).select(at(F.col("digest")), F.monotonically_increasing_id().alias("_key"))
-    keyed = docs.select("*", at(digest), F.monotonically_increasing_id().alias("_own"))
-    keyed = materialise(_salted_join(keyed, materialise(pairs, "dedup-pairs"), "_at", "_own").drop("_at"), "dedup-keyed")
-    kept = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), **options).where("kept").select(F.col("doc_id").alias("_key"))
-    rows = _salted_join(keyed, kept, "_key", "_own", how="left_semi")
-    bare = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    return rows.withColumn("_own", F.when(bare, F.col("_own"))).dropDuplicates(["_key", "_own"]).select(*docs.columns)
+    pairs = ids.distinct().repartitionByRange(*order).sortWithinPartitions(*order).select(at(F.col("digest")), F.monotonically_increasing_id().alias("key"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    bare = F.col("doc_id").isNull() & ~text.rlike(r"[^\x20\x09-\x0D]")
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), at(digest), text.alias("text"), bare.alias("bare"), F.monotonically_increasing_id().alias("own"))
+    keyed = materialise(_salted_join(keyed, materialise(pairs, "dedup-pairs"), "at", "own").drop("at"), "dedup-keyed")
+    kept = near_duplicates(keyed.select(F.col("key").alias("doc_id"), "text"), **options).where("kept").select(F.col("doc_id").alias("key"))
+    rows = _salted_join(keyed, kept, "key", "own", how="left_semi")
+    return rows.withColumn("own", F.when(F.col("bare"), F.col("own"))).dropDuplicates(["key", "own"]).select("doc.*")
