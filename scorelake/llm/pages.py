@@ -44,6 +44,7 @@ OUTSIDE, WITHIN, MAIN = 0, 1, 2
 RAW = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "param"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "ruby", "rt", "rp", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+PHRASING = INLINE | VOID
 CHROME = {"nav", "footer", "aside", "form", "script", "style", "noscript", "template", "iframe", "head", "title", "button", "select", "option", "textarea", "dialog", "svg", "canvas", "object", "audio", "video", "menu", "textarea", "noembed", "noframes"}
 CHROME_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form", "menu", "menubar"}
 CHROME_NAMES = re.compile(
@@ -51,6 +52,16 @@ CHROME_NAMES = re.compile(
     r"|popup|modal|overlay|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|side|aside|widget|footer|header|masthead|topbar|toolbar|comment|comments|respond|replies|reply|disqus"
     r"|share|sharing|social|related|recommended|recirc|newsletter|subscribe|subscription|signup|login|search|pagination|pager|skip|copyright)(?:$|[-_\s\d])"
 )
+#: Names within an article or main element mark only where every word of a class or id is one of these or, beside one, of PLAIN_WORDS.
+SURE_WORDS = set(
+    """ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices
+    popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget footer topbar toolbar comment comments respond
+    replies reply disqus share sharing social related recommended recirc newsletter subscribe subscription signup login pagination pager
+    copyright""".split()
+)
+PLAIN_WORDS = set("list box block section area wrapper wrap container item items link links bar button buttons form content inner posts articles stories main left right top bottom slot unit text title the and icons".split())
+#: Inline elements go only for names of adverts: a word of a sentence may well be a link to share or to something related.
+ADVERT = re.compile(r"(?:^|[-_\s])(?:ad|ads|adv|advert|adverts|advertisement|advertising|sponsor|sponsored|promo)(?:$|[-_\s\d])")
 LANDMARKS = {"article", "main"}
 #: Elements that their names never mark; those that are headings within an article; words that name headings there.
 UNNAMED = {"html", "body", "article", "main"}
@@ -75,6 +86,15 @@ class Node:
         self.children: list[Node] = []
 
 
+def _sure(names: str) -> bool:
+    """A class or id of the names marks what holds it, within an article or main element too."""
+    for name in names.split():
+        words = [w.rstrip("0123456789") for w in re.split(r"[-_]+", name)]
+        if any(w in SURE_WORDS for w in words) and all(not w or w in SURE_WORDS or w in PLAIN_WORDS for w in words):
+            return True
+    return False
+
+
 def _hash(*parts) -> int:
     return int.from_bytes(hashlib.blake2b("\x1f".join(map(str, parts)).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
@@ -121,7 +141,7 @@ def _mark(root: Node) -> None:
             # the head of an article is its title; the page's own header isn't
             chrome = (node.tag == "header" or bool(node.named)) and node.tag not in UNNAMED and id(node) not in holds
         elif not chrome and node.named and node.tag not in UNNAMED and node.tag not in HEADS:
-            chrome = id(node) not in holds and id(node) not in titled and bool(CHROME_NAMES.search(HEAD_NAMES.sub(" ", node.named)))
+            chrome = id(node) not in holds and id(node) not in titled and _sure(HEAD_NAMES.sub(" ", node.named))
         node.chrome = chrome
         node.own = node.land and not chrome
         node.landmark = node.own or up.landmark
@@ -132,11 +152,13 @@ def parse(text: str) -> Node:
     root = Node("", 0)
     stack = [root]
     at, end = 0, len(text)
+    # an open inline advert: its name, and how many elements of that name are open in it; it ends with the block at the latest
+    advert, open_ = "", 0
     while at < end:
         lt = text.find("<", at)
         if lt < 0:
             lt = end
-        if lt > at:
+        if lt > at and not advert:
             stack[-1].parts.append(entities.unescape(text[at:lt]))
         if lt == end:
             break
@@ -150,7 +172,8 @@ def parse(text: str) -> Node:
             at = end if close < 0 else close + 1
             continue
         if not (after.isascii() and after.isalpha()) and not (after == "/" and text[lt + 2 : lt + 3].isalpha()):
-            stack[-1].parts.append("<")
+            if not advert:
+                stack[-1].parts.append("<")
             at = lt + 1
             continue
         m = _TAG.match(text, lt + 1)
@@ -159,6 +182,11 @@ def parse(text: str) -> Node:
         at = m.end()
         named = _NAME.match(m[0])
         name = named[1].lower()
+        if advert and name in PHRASING:
+            open_ += (name == advert) * (-1 if m[0][0] == "/" else 1)
+            advert = advert if open_ else ""
+            continue
+        advert = ""
         if m[0][0] == "/":
             if name in INLINE or name in VOID:
                 continue
@@ -171,11 +199,8 @@ def parse(text: str) -> Node:
             continue
         if name in INLINE and name not in RAW:
             attrs = m[0][named.end() : -1]
-            if stack[-1].tag in HEADS or not (attrs and CHROME_NAMES.search(" ".join((x[2] or x[3] or x[4] or "") for x in _ATTR.finditer(attrs)).lower())):
-                continue
-            # an inline advert, share link or the like: its text up to its own end tag goes
-            close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(text, at)
-            at = close.end() if close else at
+            if attrs and name not in VOID and ADVERT.search(" ".join((x[2] or x[3] or x[4] or "") for x in _ATTR.finditer(attrs)).lower()):
+                advert, open_ = name, 1
             continue
         if name in VOID:
             stack[-1].parts.append(" " if name == "br" else None)
