@@ -8,13 +8,16 @@ A turn's text is a message as it stands, or a JSON object that carries tool use:
 
 A result belongs to the nearest earlier call of its identifier in the conversation, or, where there is none, to the first later one; found
 in runs of `RUN` turns first and then across runs, so that an identifier used in every turn isn't gathered in one task either. Calls
-are joined with their tools by (conversation, name), by hash. Messages are ordered topologically: by turn, but a result that stands before its call comes right behind it; a result
-depends on one call alone, so that its place, (place_turn, place_rank, turn), follows from the join without sorting a
-conversation. Arguments are checked against the tool's schema (JSON Schema's keywords for values, with $ref within
+are joined with their tools by (conversation, name), by hash. Messages are ordered topologically: by turn, but a result that stands before its call comes behind it, and, where that message is a result placed later itself, behind
+that one: a message's place, (place_turn, place_rank, turn), is the turn in which its chain of late calls begins and the number of
+links from there, found by doubling over late messages alone, without sorting a conversation. Messages that wait for each other in a
+circle stay at their turns. Arguments are checked against the tool's schema (JSON Schema's keywords for values, with $ref within
 the schema; `format` is a note; a keyword or $ref that isn't followed is reported as unsupported). Each message is
 serialised as canonical JSON: sorted keys, no spaces, characters as they are. A message is a row; no conversation is gathered in one task.
 
-Defined results: a null text is empty content; a null role is "user"; text that isn't such a JSON object is plain content; of
+Defined results: text with NaN, an infinity or a number beyond a double's range is no JSON object; a lone surrogate is written as its
+escape; a schema keyword with a value that it can't have is passed over, and a schema that can't be followed is reported as
+malformed; a null text is empty content; a null role is "user"; text that isn't such a JSON object is plain content; of
 tools that share a name the first turn's counts; every call counts, those with a repeated identifier, one that isn't a string (1 is not "1")
 or none too; a result without its call is marked `orphan` and stays at its turn; a call
 without result is marked `open`; rows with a null conv_id or turn are formatted and never linked; repeated rows are each
@@ -43,20 +46,35 @@ RUN = 1024
 PART = "kind string, conv_id long, turn long, idx int, name string, key string, body string"
 
 
+_SURROGATE = re.compile("[\ud800-\udfff]")
+
+
+def _escaped(text: str) -> str:
+    """Lone surrogates as JSON escapes, so that the text has a UTF-8 form."""
+    return _SURROGATE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
 def canonical(x) -> str:
-    return json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return _escaped(json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
+
+
+def _finite(text: str) -> float:
+    x = float(text)
+    if not isfinite(x):
+        raise ValueError("a number beyond a double's range")
+    return x
 
 
 def _loads(text):
     try:
-        return json.loads(text)
+        return json.loads(text, parse_float=_finite, parse_constant=_finite)
     except (ValueError, RecursionError):
         return None
 
 
 def _key(x) -> str | None:
     """An identifier as a string; one that isn't a string differs from all that are."""
-    return x if x is None or isinstance(x, str) else "\x00" + canonical(x)
+    return x if x is None or (isinstance(x, str) and not _SURROGATE.search(x)) else "\x00" + canonical(x)
 
 
 _NUMBER = lambda v: isinstance(v, (int, float)) and not isinstance(v, bool)
@@ -202,6 +220,8 @@ def _violations(value, schema) -> list[str]:
         return violations(value, schema)
     except RecursionError:
         return ["$: unsupported depth"]
+    except (TypeError, ValueError, KeyError, AttributeError, ArithmeticError):
+        return ["$: malformed schema"]
 
 
 def _parts(batches):
@@ -213,12 +233,12 @@ def _parts(batches):
                 continue
             for i, tool in enumerate(x["tools"] if isinstance(x.get("tools"), list) else []):
                 if isinstance(tool, dict) and isinstance(tool.get("name"), str):
-                    rows.append(("tool", conv, turn, i, tool["name"], None, canonical({} if tool.get("parameters") is None else tool["parameters"])))
+                    rows.append(("tool", conv, turn, i, _escaped(tool["name"]), None, canonical({} if tool.get("parameters") is None else tool["parameters"])))
             for i, call in enumerate(x["tool_calls"] if isinstance(x.get("tool_calls"), list) else []):
                 if isinstance(call, dict):
                     args = call.get("arguments")
                     parsed = _loads(args) if isinstance(args, str) else args
-                    rows.append(("call", conv, turn, i, str(call.get("name")), _key(call.get("id")), canonical(parsed if parsed is not None else args)))
+                    rows.append(("call", conv, turn, i, _escaped(str(call.get("name"))), _key(call.get("id")), canonical(parsed if parsed is not None else args)))
             if x.get("tool_call_id") is not None:
                 rows.append(("result", conv, turn, 0, None, _key(x["tool_call_id"]), None))
         if rows:
@@ -230,7 +250,7 @@ def _checked(batches):
     for batch in batches:
         errors = []
         for body, schema in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-            errors.append(["unknown tool"] if schema is None else _violations(_loads(body), _loads(schema)))
+            errors.append(["unknown tool"] if schema is None else [_escaped(e) for e in _violations(_loads(body), _loads(schema))])
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(errors, pa.list_(pa.string()))], names=["conv_id", "turn", "call", "errors"])
 
 
@@ -271,6 +291,21 @@ def _link(calls: DataFrame, results: DataFrame) -> DataFrame:
     return out.select("conv_id", "key", F.col("at").alias("result_turn"), F.coalesce("before", "hi", "after", "lo").alias("call"))
 
 
+def _places(late: DataFrame) -> DataFrame:
+    """conv_id, turn, place_turn, place_rank for messages of late turns; late: conv_id, turn, call_turn, the turn at or after its own
+    that a message waits for. Circles are left out."""
+    steps = materialise(late.select("conv_id", "turn", F.col("call_turn").alias("root"), F.lit(1).alias("rank")).distinct(), "chat-late")
+    reach, most = 1, steps.count()
+    while True:
+        further = steps.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("next"), F.col("rank").alias("more"))
+        joined = materialise(steps.join(further, ["conv_id", "root"], "left"), "chat-late")
+        if reach > most or joined.where("next is not null").isEmpty():
+            # whoever still waits after as many links as there are messages waits in a circle
+            return joined.where("next is null").select("conv_id", "turn", F.col("root").alias("place_turn"), F.col("rank").alias("place_rank"))
+        reach *= 2
+        steps = joined.select("conv_id", "turn", F.coalesce("next", "root").alias("root"), (F.col("rank") + F.coalesce("more", F.lit(0))).alias("rank"))
+
+
 def format_chats(turns: DataFrame) -> DataFrame:
     """conv_id, turn, place_turn, place_rank, n_calls, n_open, orphan, errors, message for every row."""
     rows = turns.select(
@@ -288,27 +323,30 @@ def format_chats(turns: DataFrame) -> DataFrame:
         calls = calls.withColumn("call", F.struct("turn", "idx", F.xxhash64("name", "key", "body").alias("h")))
         results = parts.where("kind = 'result'").select("conv_id", "key", F.col("turn").alias("result_turn")).distinct()
         linked = materialise(_link(calls.select("conv_id", "key", "call"), results), "chat-linked")
-        checked = calls.join(tools, ["conv_id", "name"], "left").select("conv_id", "turn", "call", "body", "schema")
+        # one conversation may call one tool in most of its turns
+        salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        calls = calls.withColumn("salt", F.pmod(F.xxhash64("turn", "idx"), F.lit(SALTS)).cast("int"))
+        checked = calls.join(tools.withColumn("salt", salt), ["conv_id", "name", "salt"], "left").select("conv_id", "turn", "call", "body", "schema")
         checked = checked.mapInArrow(_checked, "conv_id long, turn long, call struct<turn:long,idx:int,h:long>, errors array<string>")
         answered = linked.where("call is not null").select("conv_id", "call", F.lit(True).alias("answered")).distinct()
         by_call = checked.join(answered, ["conv_id", "call"], "left").groupBy("conv_id", "turn").agg(
             F.count("*").alias("n_calls"), F.sum(F.when(F.col("answered").isNull(), 1).otherwise(0)).alias("n_open"), F.array_sort(F.flatten(F.collect_list("errors"))).alias("errors")
         )
-        by_result = linked.groupBy("conv_id", F.col("result_turn").alias("turn")).agg(F.min("call.turn").alias("call_turn"), F.lit(True).alias("is_result"))
-        info = materialise(by_call.join(by_result, ["conv_id", "turn"], "full"), "chat-links")
+        by_result = linked.groupBy("conv_id", F.col("result_turn").alias("turn")).agg(F.max("call.turn").alias("call_turn"), F.lit(True).alias("is_result"))
+        places = _places(by_result.where("call_turn >= turn").select("conv_id", "turn", "call_turn"))
+        info = materialise(by_call.join(by_result, ["conv_id", "turn"], "full").join(places, ["conv_id", "turn"], "left"), "chat-links")
     else:
-        info = turns.sparkSession.createDataFrame([], "conv_id long, turn long, n_calls long, n_open long, errors array<string>, call_turn long, is_result boolean")
+        info = turns.sparkSession.createDataFrame([], "conv_id long, turn long, n_calls long, n_open long, errors array<string>, call_turn long, is_result boolean, place_turn long, place_rank int")
     # (conv_id, turn) is nearly a key; a conversation that repeats its turns is salted
     salted = info.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     out = rows.withColumn("_salt", F.pmod(F.xxhash64("text", "role"), F.lit(SALTS)).cast("int")).join(salted, ["conv_id", "turn", "_salt"], "left")
-    late = F.coalesce(F.col("call_turn") >= F.col("turn"), F.lit(False))
     out = out.select(
         "conv_id",
         "turn",
         "role",
         "text",
-        F.when(late, F.col("call_turn")).otherwise(F.col("turn")).alias("place_turn"),
-        late.cast("int").alias("place_rank"),
+        F.coalesce("place_turn", "turn").alias("place_turn"),
+        F.coalesce("place_rank", F.lit(0)).alias("place_rank"),
         F.coalesce("n_calls", F.lit(0)).cast("long").alias("n_calls"),
         F.coalesce("n_open", F.lit(0)).cast("long").alias("n_open"),
         (F.coalesce("is_result", F.lit(False)) & F.col("call_turn").isNull()).alias("orphan"),
