@@ -8,14 +8,13 @@ negative is, and there it is the prior. Then a linear model minimises
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))
 
 with the logistic loss; where the second term is negative, its gradient is reversed, so that it can't go on falling.
-The intercept is last set so that about the prior's share of unlabelled text is above one half, where the scores are thinnest.
 
 The model is fitted on the driver on at most `sample` positives and `sample` unlabelled documents (the documented bound),
 chosen by a hash of doc_id; scoring is one pass without a shuffle.
 
 Defined results: null and empty texts have zero features and a score of their own from the model; a null doc_id is scored as
 any row and never learnt from; repeated rows are each scored; without positives every score is 0.5; further columns are
-ignored.
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -92,39 +91,25 @@ def estimate_prior(p: np.ndarray, u: np.ndarray, ridge: float = 1e-3) -> float:
     return float(np.clip(ratio[np.argmin(ratio + error)], 0.05, 0.99))
 
 
+def nn_gradient(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
+    """Gradient of the non-negative risk, and its second term before it is cut off at zero; below zero that term's is reversed."""
+    zp, zu = p @ w, u @ w
+    up_p = ((_sigmoid(zp) - 1) @ p) / len(p)  # gradient of R_p(+)
+    dn_p = (_sigmoid(zp) @ p) / len(p)  # of R_p(-)
+    dn_u = (_sigmoid(zu) @ u) / len(u)
+    rest = float(np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean())
+    return (prior * up_p + (dn_u - prior * dn_p) if rest >= 0 else -(dn_u - prior * dn_p)), rest
+
+
 def fit_nnpu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 600, rate: float = 0.03, ridge: float = 1e-4) -> np.ndarray:
     """Weights, the intercept last (features end in a column of ones)."""
 
     def grad(w):
-        zp, zu = p @ w, u @ w
-        up_p = ((_sigmoid(zp) - 1) @ p) / len(p)  # gradient of R_p(+)
-        dn_p = (_sigmoid(zp) @ p) / len(p)  # of R_p(-)
-        dn_u = (_sigmoid(zu) @ u) / len(u)
-        risk = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        g = prior * up_p + (dn_u - prior * dn_p) if risk >= 0 else -(dn_u - prior * dn_p)
         reg = 2 * ridge * w
         reg[-1] = 0
-        return g + reg
-
-    w = _adam(grad, p.shape[1], steps, rate)
-    w[-1] -= cutoff(u @ w, prior)
-    return w
-
+        return nn_gradient(w, p, u, prior)[0] + reg
 
-def cutoff(z: np.ndarray, prior: float, reach: float = 0.05) -> float:
-    """Where the scores are thinnest among the cutoffs that leave about `prior` of them above: there an error of the prior costs least."""
-    z = np.sort(z)
-    n = len(z)
-    width = max(1, n // 400)
-    lo, hi = (int(np.clip((1 - prior + d) * n, width, max(width, n - 1 - width))) for d in (-reach, reach))
-    at = np.arange(lo, hi + 1)
-    at = at[(at + width < n) & (at - width >= 0)]
-    if not len(at):
-        return float(np.quantile(z, 1 - prior))
-    best = at[np.argmax(z[at + width] - z[at - width])]
-    inner = z[best - width : best + width + 1]
-    k = int(np.argmax(np.diff(inner)))
-    return float((inner[k] + inner[k + 1]) / 2)
+    return _adam(grad, p.shape[1], steps, rate)
 
 
 class Model:
