@@ -1,6 +1,6 @@
 """Toxicity by a classifier chain of linear models.
 
-Categories are predicted one after another; each later model also gets the log-odds that the earlier ones gave, and for
+Categories are predicted one after another; each later model also gets the probabilities that the earlier ones gave, and for
 training these come from folds the earlier model had not seen, so that the chain learns how far they can be trusted.
 Features are the presence of words and of word beginnings of three to six bytes (lower-cased ASCII, other bytes as they
 are), hashed to 64 bits; a feature that comes twice, or that makes up one word in a hundred, counts as a further feature
@@ -13,7 +13,7 @@ one pass over whole texts without a shuffle.
 
 Defined results: null and empty texts hold no feature and get the model's base rate; rows with a null doc_id are scored and
 never learnt from; repeated rows are each scored; without labels of both kinds every probability is the share of that
-label (0 where there is none); further columns are ignored.
+label (0 where there is none); further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ PREFIXES = (3, 4, 5, 6)
 DENSE = 100
 _AGAIN, _DENSE = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 #: The chain, in order: condition on a row of labels.
-CHAIN = (("toxic_prose", "toxic = 1 and quality = 1"), ("toxic_junk", "toxic = 1 and quality = 0"), ("toxic", "toxic = 1"))
+CHAIN = (("harmful", "toxic = 1 or quality = 0"), ("poor", "quality = 0"), ("toxic", "toxic = 1"))
 
 
 def presence(texts):
@@ -113,8 +113,8 @@ class Linear:
     def _z(self, rows, cols, dense) -> np.ndarray:
         return np.bincount(rows, weights=self.w[cols], minlength=len(dense)) + dense @ self.v + self.b
 
-    def logit(self, rows, cols, dense) -> np.ndarray:
-        return np.clip(self._z(rows, cols, dense), -30, 30)
+    def probability(self, rows, cols, dense) -> np.ndarray:
+        return _sigmoid(self._z(rows, cols, dense))
 
 
 def _sigmoid(z):
@@ -139,15 +139,15 @@ class Chain:
                 number = np.cumsum(train) - 1
                 on = train[rows]
                 part = Linear(number[rows[on]], cols[on], dense[train], y[train, c], k)
-                unseen[test] = part.logit(rows, cols, dense)[test]
+                unseen[test] = part.probability(rows, cols, dense)[test]
             dense = np.concatenate([dense, unseen[:, None]], axis=1)
         return self
 
     def predict(self, rows, cols, n: int) -> np.ndarray:
         dense = np.zeros((n, 0))
         for m in self.models:
-            dense = np.concatenate([dense, m.logit(rows, cols, dense)[:, None]], axis=1)
-        return _sigmoid(dense)
+            dense = np.concatenate([dense, m.probability(rows, cols, dense)[:, None]], axis=1)
+        return dense
 
     def of(self, texts) -> np.ndarray:
         out = [np.zeros((0, len(self.names)))]
