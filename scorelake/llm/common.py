@@ -6,6 +6,8 @@ text buffer itself, so no Python string is made for a document.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -31,13 +33,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the session names; a folder of our own only where none is set (tests, one machine)."""
+    """The shared folder that the session names; one of our own only where none is set and all runs on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = got.get() if got.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="scorelake-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(root)
     return root
 

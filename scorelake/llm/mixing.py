@@ -112,9 +112,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """The documents as often as the mix takes them. Rows of one doc_id share their fate."""
-    copies = mix(docs, **options).groupBy("doc_id").agg(F.max("copies").alias("_copies")).where("_copies > 0").withColumnRenamed("doc_id", "_id")
-    out = docs.join(copies, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")))
-    return out.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    copies = mix(docs, **options).groupBy("doc_id").agg(F.max("copies").alias("times")).where("times > 0")
+    # the documents' own columns are one struct, so that their names can't meet ours
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("id"))
+    out = rows.join(copies, rows["id"].eqNullSafe(copies["doc_id"])).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    return out.select("doc.*")
 
 
 def op4_hash_threshold_mix(spark, sf_dir: str) -> DataFrame:

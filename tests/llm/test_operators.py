@@ -199,7 +199,7 @@ def test_empty_tables(spark, tmp_path):
     assert repair_files.read(spark, str(tmp_path / "none")).count() == 0
     assert mixing.mix(none).count() == 0
     assert packing.pack_documents(none).count() == 0
-    assert rules.judge(rules.statistics(none), rules.cutoffs(rules.statistics(none), labels)).count() == 0
+    assert rules.judge(rules.statistics(none), rules.levels(rules.statistics(none), labels)).count() == 0
     assert quality.quality_scores(none, quality.fit(none, labels)).count() == 0
     assert toxicity.toxicity_scores(none, toxicity.fit(none, labels)).count() == 0
     assert nearest.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
