@@ -302,3 +302,15 @@ def near_dedup(docs: DataFrame, **options) -> DataFrame:
     kept = near_duplicates(keyed.select(F.col("key").alias("doc_id"), "text"), **options).where("kept").select(F.col("doc_id").alias("key"))
     rows = _salted_join(keyed, kept, "key", "own", how="left_semi")
     return rows.withColumn("own", F.when(F.col("bare"), F.col("own"))).dropDuplicates(["key", "own"]).select("doc.*")
+
+
+def classes_sql(words: int = WORDS, similarity: float = SIMILARITY) -> str:
+    """near_duplicates() as DuckDB SQL: all pairs of documents that share a run of words, and paths over the similar ones."""
+    runs = f"CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {words} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {words - 2}), lambda i: array_to_string(w[i:i + {words - 1}], ' ')) END"
+    return f"""WITH RECURSIVE d AS (SELECT DISTINCT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+s AS (SELECT doc_id, list_distinct({runs}) AS s FROM d), u AS (SELECT doc_id, unnest(s) AS x, len(s) AS n FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m, any_value(a.n) AS na, any_value(b.n) AS nb FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE m >= {similarity!r}::DOUBLE * (na + nb - m)), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(id, label) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.b, r.label FROM r JOIN e ON e.a = r.id),
+c AS (SELECT id AS doc_id, min(label) AS class_id FROM r GROUP BY id)
+SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size, doc_id = class_id AS kept FROM c"""

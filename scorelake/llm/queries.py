@@ -22,4 +22,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_hash_threshold_mix": mixing.mix_sql(), "op8_risk_controlled_rules": rules.rules_sql()}
+    return {"op3_dart_minhash": near_dedup.classes_sql(), "op4_hash_threshold_mix": mixing.mix_sql(), "op8_risk_controlled_rules": rules.rules_sql()}
