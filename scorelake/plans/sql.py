@@ -304,6 +304,42 @@ q AS (SELECT *, greatest(n, 1) AS m, pos + neg AS felt, casual + joined AS infor
     return rounded(ctes, "q", "doc_id", columns, 2)
 
 
+def _links() -> str:
+    """Cosines of the sentences of each document: those of neighbours and all, and what is counted beside them."""
+    terms = f"list_filter(regexp_extract_all(lower(s), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda v: NOT list_contains({_strings(L.VECTOR_STOPS)}, v))"
+    held = f"len(list_filter({_strings(L.TRANSITION)}, lambda v: contains(lower(coalesce(text, '')), v)))"
+    return f"""d AS (SELECT doc_id, {_prose('text')} AS s, {held} AS transitions FROM documents),
+x AS (SELECT doc_id, unnest(s) AS s, unnest(range(len(s))) AS i FROM d),
+t AS (SELECT doc_id, i, unnest({terms}) AS v FROM x), f AS (SELECT doc_id, i, v, count(*) AS c FROM t GROUP BY ALL),
+df AS (SELECT doc_id, v, count(*) AS df FROM f GROUP BY ALL),
+g AS (SELECT doc_id, i, v, c * (ln((1 + len(s)) / (1 + df)) + 1) AS w FROM f JOIN df USING (doc_id, v) JOIN d USING (doc_id)),
+n AS (SELECT doc_id, i, sqrt(sum(w * w)) AS n FROM g GROUP BY ALL), z AS (SELECT doc_id, i, v, w / n AS w FROM g JOIN n USING (doc_id, i)),
+near AS (SELECT a.doc_id, a.i, sum(a.w * b.w) AS c FROM z a JOIN z b ON a.doc_id = b.doc_id AND a.v = b.v AND b.i = a.i + 1 GROUP BY ALL),
+every AS (SELECT doc_id, max(c) AS most FROM (SELECT a.doc_id, sum(a.w * b.w) AS c FROM z a JOIN z b ON a.doc_id = b.doc_id AND a.v = b.v AND a.i < b.i GROUP BY a.doc_id, a.i, b.i) GROUP BY doc_id),
+nn AS (SELECT x.doc_id, avg(coalesce(c, 0)) AS near_mean, min(coalesce(c, 0)) AS near_least, var_pop(coalesce(c, 0)) AS near_var FROM x JOIN d USING (doc_id) LEFT JOIN near ON near.doc_id = x.doc_id AND near.i = x.i WHERE x.i < len(d.s) - 1 GROUP BY x.doc_id),
+whole AS (SELECT doc_id, sum(w * w) AS q FROM (SELECT doc_id, v, sum(w) AS w FROM z GROUP BY ALL) GROUP BY doc_id), own AS (SELECT doc_id, count(DISTINCT i) AS own FROM z GROUP BY doc_id),
+links AS (SELECT d.doc_id, len(s) AS n, transitions, CASE WHEN own > 0 THEN near_mean END AS near_mean, CASE WHEN own > 0 THEN near_least END AS near_least, CASE WHEN own > 0 THEN near_var END AS near_var,
+  CASE WHEN len(s) > 1 THEN (q - own) / (len(s) * (len(s) - 1)) END AS mean, CASE WHEN len(s) > 1 AND own > 0 THEN greatest(coalesce(most, 0), 0) END AS most
+  FROM d LEFT JOIN nn USING (doc_id) LEFT JOIN whole USING (doc_id) LEFT JOIN own USING (doc_id) LEFT JOIN every USING (doc_id))"""
+
+
+def coherence() -> str:
+    columns = {
+        "avg_inter_sentence_similarity": "coalesce(near_mean * 100, 50)",
+        "min_inter_sentence_similarity": "coalesce(near_least * 100, 50)",
+        "coherence_variance": "coalesce(near_var * 100, 0)",
+        "transition_density": "transitions / n * 100",
+        "global_coherence": "coalesce(CASE WHEN n >= 3 THEN mean * 100 END, 50)",
+    }
+    flow = "0.4::DOUBLE * avg_inter_sentence_similarity + 0.3::DOUBLE * least(transition_density * 10, 100) + 0.3::DOUBLE * global_coherence"
+    return f"SELECT * EXCLUDE (s), {exact_round_sql('s', 2)} AS flow_score FROM (SELECT *, {flow} AS s FROM ({rounded(_links(), 'links', 'doc_id', columns, 2)}))"
+
+
+def sentence_repetition() -> str:
+    columns = {"max_sentence_similarity": "coalesce(most * 100, 0)", "avg_cross_sentence_similarity": "coalesce(mean * 100, 0)"}
+    return rounded(_links(), "links", "doc_id", columns, 2)
+
+
 def repetition() -> str:
     stops = _strings(L.REPETITION_STOPS)
     again = lambda x: f"{ratio(f'len({x}) - {_distinct(x)}', f'len({x})')} * 100"
@@ -340,6 +376,8 @@ SELECT *, CAST(row_number() OVER (PARTITION BY lang ORDER BY round(score, 9) DES
         "structure": structure(),
         "tone": tone(),
         "repetition": repetition(),
+        "coherence": coherence(),
+        "sentence_repetition": sentence_repetition(),
         "pair_sets": pair_sets(),
         "pair_rouge1": rouge(1),
         "pair_rouge2": rouge(2),
