@@ -33,7 +33,8 @@ BANDS, ROWS = 40, 6
 SALTS = 16
 #: Rows of one key from which it is salted, and the most keys that may be (a larger table raises the first to keep to the second).
 HOT, MOST_HOT = 20_000, 5_000
-CENTRES = 8
+#: Centres of a group of buckets in the first round, and in the second, which only those take part in that the first left apart.
+CENTRES = (3, 8)
 #: Identifiers that may be broadcast (8 bytes each); beyond it the join is shuffled.
 BROADCAST_IDS = 1_000_000
 _NEXT = np.uint64(0xD1342543DE82EF95)
@@ -205,9 +206,9 @@ def _near_size(a: str, b: str, similarity: float) -> Column:
 def _star_pairs(members: DataFrame, labels: DataFrame | None, turn: int, similarity: float) -> DataFrame:
     """Each member of a bucket with the bucket's centre, unless they are in one component.
 
-    Buckets of the same documents have up to CENTRES different centres, so that a group of near copies is met from many sides."""
+    Buckets of the same documents have up to CENTRES[turn] different centres, so that a group of near copies is met from many sides."""
     m = _labelled(members, labels)
-    centre = m.groupBy("h").agg(F.min_by(F.struct("rep", "n_sh", "c"), F.xxhash64("rep", F.pmod("h", F.lit(CENTRES)), F.lit(turn))).alias("x"), F.count("*").alias("n"))
+    centre = m.groupBy("h").agg(F.min_by(F.struct("rep", "n_sh", "c"), F.xxhash64("rep", F.pmod("h", F.lit(CENTRES[turn])), F.lit(turn))).alias("x"), F.count("*").alias("n"))
     pairs = _salted_join(m, centre, "h", "rep", rows=members.count()).where("c <> x.c").select(F.least("rep", "x.rep").alias("a"), F.greatest("rep", "x.rep").alias("b"), "n_sh", F.col("x.n_sh").alias("m_sh"))
     return pairs.where(_near_size("n_sh", "m_sh", similarity)).select("a", "b").distinct()
 
