@@ -160,6 +160,10 @@ def constraint_adherence(spark, sf: str) -> DataFrame:
     return constraints.evaluate(turn_pairs(spark, sf), KEYS, "prompt", "answer").select(*KEYS, "n_constraints", "n_passed", "constraint_score")
 
 
+def content(spark, sf: str) -> DataFrame:
+    return writing.content(turn_pairs(spark, sf), KEYS, "prompt", None, "answer")
+
+
 def writing_evaluation(spark, sf: str) -> DataFrame:
     rows = constraints.evaluate(turn_pairs(spark, sf), [*KEYS, "prompt", "answer"], "prompt", "answer")
     return writing.evaluate(rows, KEYS, "prompt", None, "answer", "constraint_score")
@@ -170,7 +174,7 @@ def queries() -> dict:
     found += [word_facts, readability, lexical_richness, structure, tone, repetition, coherence, sentence_repetition]
     found += [pair_sets, pair_rouge1, pair_rouge2, pair_bleu_tfidf, pair_chrf, pair_cer, pair_wer_rouge_l]
     found += [summary_measures, summary_overlaps, translation_measures, translation_overlaps, translation_board, summary_board]
-    found += [prompt_faithfulness, constraint_adherence, writing_evaluation]
+    found += [prompt_faithfulness, constraint_adherence, content, writing_evaluation]
     return {f.__name__: f for f in found}
 
 

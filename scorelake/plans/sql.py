@@ -351,6 +351,23 @@ g AS (SELECT doc_id, {grams('w', 2)} AS b, {grams('w', 3)} AS t, list_filter(w,
 FROM (SELECT *, greatest(100 - (bigram_repetition_rate * 2 + trigram_repetition_rate * 3 + content_word_repetition * 0.5::DOUBLE), 0) AS s FROM ({inner}))"""
 
 
+def content() -> str:
+    terms = lambda c: f"list_filter(regexp_extract_all(lower(coalesce({c}, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda v: NOT list_contains({_strings(L.VECTOR_STOPS)}, v))"
+    wanted = f"list_distinct(list_filter({ASCII.format('prompt')}, lambda v: NOT list_contains({_strings(L.COVERAGE_STOPS)}, v)))"
+    # a word ends at no letter of any script: other letters become ones that the ASCII word boundary knows
+    plain = "regexp_replace(regexp_replace(coalesce(prompt, ''), '[^\\p{L}\\p{N}\\x00-\\x7F]', '.', 'g'), '[^\\x00-\\x7F]', '_', 'g')"
+    ctes = f"""{PAIRS}, w AS (SELECT {KEYS}, coalesce(answer, '') AS answer, {terms('answer')} AS h, {terms('prompt')} AS r, {wanted} AS wanted, {ASCII.format('answer')} AS held,
+  list_distinct(regexp_extract_all({plain}, '\\b[A-Z][a-z]+(?:\\s[A-Z][a-z]+)*\\b')) AS names FROM pairs),
+g AS ({_orders(lambda x, _: x, 1)}), {_CLIPPED}, k AS (SELECT w.*, dot, sa, sb FROM w LEFT JOIN m USING ({KEYS}))"""
+    columns = {
+        "context_similarity": "coalesce(CASE WHEN sa * sb > 0 THEN dot / (sqrt(sa) * sqrt(sb)) END, 0) * 100",
+        "information_coverage": f"{ratio(_met('wanted', 'held'), 'len(wanted)')} * 100",
+        "entity_retention": "CASE WHEN len(names) > 0 THEN len(list_filter(names, lambda e: contains(lower(answer), lower(e)))) / len(names) * 100 ELSE 100 END",
+    }
+    blend = "0.5::DOUBLE * context_similarity + 0.3::DOUBLE * information_coverage + 0.2::DOUBLE * entity_retention"
+    return f"SELECT * EXCLUDE (s), {exact_round_sql('s', 2)} AS relevance_score FROM (SELECT *, {blend} AS s FROM ({rounded(ctes, 'k', KEYS, columns, 2)}))"
+
+
 def translation_board() -> str:
     """Composites of the measures that translation_overlaps gives, their z-scores and statistics."""
     weights = {k: w for k, w in TRANSLATION_PROFILES["balanced"].items() if k in ("jaccard", "content_word_overlap", "bigram_overlap", "length_score")}
@@ -386,4 +403,5 @@ SELECT *, CAST(row_number() OVER (PARTITION BY lang ORDER BY round(score, 9) DES
         "summary_overlaps": summary_overlaps(),
         "translation_overlaps": translation_overlaps(),
         "translation_board": translation_board(),
+        "content": content(),
     }
