@@ -7,10 +7,10 @@ packed: a first solution by best-fit decreasing, then, for shards above their lo
 Its genes are whole sequences. Crossover injects well-filled sequences of one parent into the other, takes out the sequences
 that hold an injected piece a second time, and places the pieces displaced by that: displaced pieces first take the place of
 one or two smaller pieces of a sequence where they fill it better, and what is displaced in the end is best-fitted, the
-largest first. In a large shard, evolution works on a core of bounded size, the sequences of its best packing that aren't full
-and others drawn by chance; a packing cut down to the core's pieces is a packing of the core. Several islands evolve a shard
-in tasks of their own from different seeds and cores; between epochs each island's elite moves to the next. The best island's
-packing is the shard's.
+largest first. A large shard is evolved core by core, each of bounded size, until every sequence has been in one: a core takes
+sequences that were in none yet, and those that earlier cores left with room; a packing cut down to the core's pieces is a
+packing of the core. Several islands evolve a shard in tasks of their own from different seeds and cores; between epochs each
+island's elite moves to the next. The best island's packing is the shard's.
 
 Defined results: null and empty texts are documents of the end id alone; a null doc_id is packed as any other; rows that
 repeat a doc_id are packed each, in different shards too; further columns are ignored; an empty table gives an empty result.
@@ -33,7 +33,7 @@ from .tokens import default_path, encoder
 CAPACITY, END_ID = 1024, 2
 #: Pieces of one shard on average; the shards' number grows with the input, their size doesn't.
 SHARD_PIECES = 16_384
-#: Pieces that evolution works on at a time, and the crossovers of an epoch for a core of that size (more for smaller ones).
+#: Pieces of a core (all of a shard go through cores), and the crossovers of a core of that size (more for smaller ones).
 CORE, GENERATIONS, MOST_GENERATIONS = 1024, 16, 300
 ISLANDS, EPOCHS, POPULATION = 3, 2, 8
 
@@ -134,79 +134,98 @@ def fitness(group: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[int, f
 
 
 class Lost:
-    """Displaced pieces by size; the largest of at most a size is found in a bit set."""
+    """Displaced pieces by size; the largest of at most a size, and the largest sum of two, are found in bit sets."""
 
     def __init__(self, pieces: list[int], sizes: list[int]):
         self.at: dict[int, list[int]] = {}
-        self.mask = 0
+        self.mask, self.top = 0, max(sizes, default=0)
+        #: The mask from above (size s at top - s), and all sums of two that there may be: some may be gone by now.
+        self.back, self.sums = 0, 0
         for p, size in zip(pieces, sizes, strict=True):
             self.put(p, size)
 
     def put(self, piece: int, size: int) -> None:
-        self.at.setdefault(size, []).append(piece)
-        self.mask |= 1 << size
+        held = self.at.setdefault(size, [])
+        held.append(piece)
+        if len(held) == 1:
+            if size > self.top:
+                self.back <<= size - self.top
+                self.top = size
+            self.mask |= 1 << size
+            self.back |= 1 << (self.top - size)
+            self.sums |= self.mask << size
+        elif len(held) == 2:
+            self.sums |= 1 << 2 * size
 
     def take(self, size: int) -> int:
         piece = self.at[size].pop()
         if not self.at[size]:
             self.mask &= ~(1 << size)
+            self.back &= ~(1 << (self.top - size))
         return piece
 
     def upto(self, most: int) -> int:
         """The largest size held of at most `most`; 0 if there is none."""
         return max((self.mask & ((1 << (most + 1)) - 1)).bit_length() - 1, 0)
 
-    def two_upto(self, most: int) -> tuple[int, int]:
-        """Two sizes held whose sum is the largest of at most `most`; zeros if there are none."""
-        best, found = 0, (0, 0)
-        for a, held in self.at.items():
-            if held and a < most:
-                b = self.upto(most - a)
-                if b == a and len(held) == 1:
-                    b = self.upto(a - 1)
-                if b and a + b > best:
-                    best, found = a + b, (a, b)
-                    if best == most:
-                        break
-        return found
-
-
-def replace(child: np.ndarray, sizes: np.ndarray, left: np.ndarray, lost: Lost, rng: np.random.Generator, most: int = 96) -> None:
-    """Puts displaced pieces in the place of one or two smaller ones where they fill a sequence better, until a pass over (some
-    of) the sequences with room finds no such place. Works on child, left and lost in place."""
-    open_ = rng.permutation(np.flatnonzero(left > 0))[:most].tolist()
+    def two_upto(self, most: int) -> int:
+        """The largest sum of two pieces held of at most `most`; 0 if there is none."""
+        while True:
+            both = (self.sums & ((1 << (most + 1)) - 1)).bit_length() - 1
+            if both < 0:
+                return 0
+            if self.halves(both):
+                return both
+            self.sums ^= 1 << both
+
+    def halves(self, both: int) -> tuple[int, int] | None:
+        """Two sizes held that make the sum."""
+        found = self.mask & (self.back >> (self.top - both) if both <= self.top else self.back << (both - self.top))
+        if not both % 2 and found >> both // 2 & 1 and len(self.at[both // 2]) < 2:
+            found ^= 1 << both // 2
+        size = (found & -found).bit_length() - 1
+        return (size, both - size) if found else None
+
+
+def replace(child: np.ndarray, sizes: np.ndarray, left: np.ndarray, lost: Lost, rng: np.random.Generator) -> None:
+    """Puts displaced pieces in the place of one or two smaller ones where they fill a sequence better, in a pass over all
+    sequences with room and all sizes in them. Works on child, left and lost in place."""
+    open_ = rng.permutation(np.flatnonzero(left > 0)).tolist()
     if not open_ or not lost.mask:
         return
     order = np.argsort(child, kind="stable")
     placed = child[order]
-    held = {k: order[np.searchsorted(placed, k) : np.searchsorted(placed, k, "right")].tolist() for k in open_}
-    for k in open_:
-        room, here = int(left[k]), held[k]
-        if len(here) > 8:
-            here = rng.choice(here, 8, replace=False).tolist()
-        gain, out, into = 0, (), ()
-        for i, p in enumerate(here):
-            size = int(sizes[p])
-            d = lost.upto(size + room)
-            if d - size > gain:
-                gain, out, into = d - size, (p,), (d,)
-            for q in here[:i]:
-                both = size + int(sizes[q])
+    first, last = np.searchsorted(placed, open_), np.searchsorted(placed, open_, "right")
+    for k, i, j in zip(open_, first.tolist(), last.tolist(), strict=True):
+        room, held = int(left[k]), order[i:j]
+        # pieces of one size are alike: one of each size is tried, and two where there are two
+        here: dict[int, list[int]] = {}
+        for p, size in zip(held.tolist(), sizes[held].tolist(), strict=True):
+            here.setdefault(size, []).append(p)
+        kinds = list(here)
+        gain, out, into, pair = 0, (), 0, False
+        for n, x in enumerate(kinds):
+            d = lost.upto(x + room)
+            if d - x > gain:
+                gain, out, into, pair = d - x, (x,), d, False
+            for y in kinds[: n + (len(here[x]) > 1)]:
+                both = x + y
                 d = lost.upto(both + room)
                 if d - both > gain:
-                    gain, out, into = d - both, (p, q), (d,)
+                    gain, out, into, pair = d - both, (x, y), d, False
                 if gain < room:
-                    x, y = lost.two_upto(both + room)
-                    if x + y - both > gain:
-                        gain, out, into = x + y - both, (p, q), (x, y)
+                    d = lost.two_upto(both + room)
+                    if d - both > gain:
+                        gain, out, into, pair = d - both, (x, y), d, True
             if gain == room:
                 break
         if gain:
-            for d in into:
+            for d in lost.halves(into) if pair else (into,):
                 child[lost.take(d)] = k
-            for p in out:
+            for x in out:
+                p = here[x].pop()
                 child[p] = -1
-                lost.put(p, int(sizes[p]))
+                lost.put(p, x)
             left[k] = room - gain
 
 
@@ -243,7 +262,9 @@ def crossover(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, capacity: int, rn
 
 
 def evolve(sizes: np.ndarray, start: list[np.ndarray], capacity: int, rng: np.random.Generator, generations: int, population: int, bound: int) -> np.ndarray:
-    """The best packing that crossovers of the pool make; start: packings of the pieces, the best one first."""
+    """The best packing that crossovers of the pool make; start: packings of the pieces, the best one first, which stays if it is at the bound."""
+    if -fitness(start[0], sizes, capacity)[0] <= bound:
+        return start[0]
     pool = list(start)[:population]
     while len(pool) < population:
         noisy = np.argsort(-(sizes + rng.integers(0, 1 + capacity // int(rng.integers(4, 65)), len(sizes))), kind="stable")
@@ -264,24 +285,48 @@ def evolve(sizes: np.ndarray, start: list[np.ndarray], capacity: int, rng: np.ra
 
 
 def improve(sizes: np.ndarray, start: list[np.ndarray], capacity: int, seed: int, bound: int, core: int = CORE, generations: int = GENERATIONS, population: int = POPULATION) -> np.ndarray:
-    """The first of the packings, its core evolved against the others'."""
+    """The first of the packings, evolved against the others core by core, until each of its sequences has been in a core or it is at the bound.
+
+    A core takes sequences that were in none yet, those with room first, the others by chance, and of those that were in one, those
+    with room, up to half of its pieces: what room a core couldn't use meets the next one's pieces. A core whose
+    sequences are as few as its lower bound is done."""
     rng = np.random.default_rng(seed)
     base = np.unique(start[0], return_inverse=True)[1]
-    fill, count = np.bincount(base, weights=sizes), np.bincount(base)
-    # sequences with room first, then others by chance, as long as their pieces fit into the core
-    order = np.lexsort((rng.random(len(fill)), fill >= capacity))
-    chosen = order[np.cumsum(count[order]) <= core] if len(sizes) > core else order
-    within = np.isin(base, chosen)
-    part = sizes[within]
+    seen = np.zeros(len(sizes), bool)
+    while not seen.all():
+        fill, count = np.bincount(base, weights=sizes), np.bincount(base)
+        if len(fill) <= bound:
+            break
+        chance, room = rng.random(len(fill)), fill < capacity
+        new = np.zeros(len(fill), bool)
+        new[base[~seen]] = True
+        again = np.flatnonzero(~new & room)
+        again = again[np.argsort(chance[again])]
+        again = again[np.cumsum(count[again]) <= core // 2]
+        fresh = np.flatnonzero(new)
+        fresh = fresh[np.lexsort((chance[fresh], ~room[fresh]))]
+        some = np.cumsum(count[fresh]) <= core - count[again].sum()
+        some[0] = True
+        within = np.isin(base, np.concatenate([again, fresh[some]]))
+        base = _evolve_core(sizes, [base, *start[1:]], within, capacity, rng, bound, core, generations, population)
+        seen |= within
+    return base
+
+
+def _evolve_core(sizes: np.ndarray, start: list[np.ndarray], within: np.ndarray, capacity: int, rng: np.random.Generator, bound: int, core: int, generations: int, population: int) -> np.ndarray:
+    """The first of the packings, whose sequences lie within or without, those within evolved against the others' part of these pieces."""
+    base, part = start[0], sizes[within]
     if len(part) < 2:
         return base
+    bins = base.max() + 1
     turns = int(np.clip(generations * core // len(part), generations, MOST_GENERATIONS))
-    parents = [np.unique(g[within], return_inverse=True)[1] for g in [base, *start[1:]]]
-    best = evolve(part, parents, capacity, rng, turns, population, max(lower_bound(part, capacity), len(chosen) - (len(fill) - bound)))
+    parents = [np.unique(g[within], return_inverse=True)[1] for g in start]
+    least = parents[0].max() + 1 - (bins - bound)
+    best = evolve(part, parents, capacity, rng, turns, population, max(lower_bound(part, capacity), least))
     if fitness(best, part, capacity) <= fitness(parents[0], part, capacity):
         return base
     out = base.copy()
-    out[within] = best + len(fill)
+    out[within] = best + bins
     return np.unique(out, return_inverse=True)[1]
 
 

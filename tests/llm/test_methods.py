@@ -46,6 +46,41 @@ def test_genetic_packing_improves_on_best_fit():
         assert bound <= used <= first.max() + 1 - share * gap
 
 
+def test_evolution_reaches_every_sequence():
+    """A shard of many cores: each of its sequences is in one, and improves as those of a shard of one core do."""
+    rng = np.random.default_rng(5)
+    triplets = []
+    for _ in range(600):
+        a = int(rng.integers(380, 491))
+        b = int(rng.integers(250, (1000 - a) // 2 + 1))
+        triplets += [a, b, 1000 - a - b]
+    sizes = _sizes(triplets)
+    first = _bfd(sizes, 1000)
+    best = packing.improve(sizes, [first], 1000, 3, 600, core=128)
+    assert _valid(best, sizes, 1000)
+    assert len(np.unique(best)) <= first.max() + 1 - 0.5 * (first.max() + 1 - 600)
+
+
+def test_evolution_passes_sequences_of_more_pieces_than_a_core():
+    sizes = _sizes([10] * 1030)
+    best = packing.improve(sizes, [_bfd(sizes, 1024)], 1024, 3, packing.lower_bound(sizes, 1024) - 1, core=32)
+    assert _valid(best, sizes, 1024) and len(np.unique(best)) == 11
+
+
+def test_replacing_looks_at_every_sequence_and_piece():
+    # 300 sequences with room, each of which one of the displaced pieces fills
+    sizes = np.array([600] * 300 + [1000] * 300)
+    child, left = np.concatenate([np.arange(300), np.full(300, -1)]), np.full(300, 400)
+    packing.replace(child, sizes, left, packing.Lost(list(range(300, 600)), [1000] * 300), np.random.default_rng(0))
+    assert (left == 0).all() and (child[:300] < 0).all() and sorted(child[300:]) == list(range(300))
+    # twenty pieces, of which only two together make way for the two displaced ones that fill the sequence
+    for seed in range(10):
+        sizes = np.array([*range(30, 66, 2), 7, 9, 68, 71])
+        child, left = np.concatenate([np.zeros(20, np.int64), [-1, -1]]), np.array([139 - 16])
+        packing.replace(child, sizes, left, packing.Lost([20, 21], [68, 71]), np.random.default_rng(seed))
+        assert left[0] == 0 and (child[20:] == 0).all() and (child[18:20] < 0).all()
+
+
 def _optimum(sizes, capacity):
     best = len(sizes)
 
