@@ -461,3 +461,19 @@ def test_mix_without_words_ties_and_long_texts(spark):
     got = mixing.mix(spark.createDataFrame(rows, DOC)).toPandas()
     assert len(got) == len(rows) and (got["taken"] <= 2 * got["size"]).all() and got["size"].max() == 60_000
     assert got[got["doc_id"] == 9]["taken"].nunique() == 1
+
+
+def test_pipeline_packs_all_of_a_shard_well(spark):
+    """Documents of which three fill a sequence exactly: the pack stage evolves all of them, not a part."""
+    rng = np.random.default_rng(8)
+    lengths = []
+    for _ in range(1000):
+        a = int(rng.integers(390, 501))
+        b = int(rng.integers(260, (1024 - a) // 2 + 1))
+        lengths += [a, b, 1024 - a - b]
+    docs = spark.createDataFrame([(i, " a" * (n - 1), "en", "s", 0) for i, n in enumerate(lengths)], DOC)
+    got = corpus_pipeline.pack(spark, docs, "").toPandas()
+    assert sorted(got["length"]) == sorted(lengths)
+    sizes = _sizes(lengths)
+    first = _bfd(sizes, 1024).max() + 1
+    assert got["sequence_id"].nunique() <= first - 0.7 * (first - 1000)
