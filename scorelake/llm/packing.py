@@ -10,7 +10,9 @@ one or two smaller pieces of a sequence where they fill it better, and what is d
 largest first. A large shard is evolved core by core, each of bounded size, until every sequence has been in one: a core takes
 sequences that were in none yet, and those that earlier cores left with room; a packing cut down to the core's pieces is a
 packing of the core. Several islands evolve a shard in tasks of their own from different seeds and cores; between epochs each
-island's elite moves to the next. The best island's packing is the shard's.
+island's elite moves to the next. The best island's packing is the shard's. Last, the sequences with room of all shards are
+dealt anew, whole, into shards of the same size, and evolved there, round after round, until all of them were in one shard, they
+are as few as their volume allows, or a round saves none.
 
 Defined results: null and empty texts are documents of the end id alone; a null doc_id is packed as any other; rows that
 repeat a doc_id are packed each, in different shards too; further columns are ignored; an empty table gives an empty result.
@@ -40,6 +42,8 @@ ISLANDS, EPOCHS, POPULATION = 3, 2, 8
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: With a number that tells equal rows apart.
 NUMBERED = PIECE + ", number long"
+#: With the place, and the room that is left in the sequence.
+PLACED = PIECE + ", sequence_id long, offset long, room long"
 
 
 def _cutter(path: str, end_id: int, capacity: int):
@@ -343,6 +347,18 @@ def _sorted(items: pd.DataFrame) -> pd.DataFrame:
     return items.sort_values(["length", "number"], ascending=[False, True], kind="stable", ignore_index=True)
 
 
+def _laid(rows: pd.DataFrame, group: np.ndarray, shard: int, capacity: int) -> pd.DataFrame:
+    """Rows of PLACED; group: the sequence of each row in its shard, named from 0."""
+    order = np.argsort(group, kind="stable")
+    size = rows["length"].to_numpy()[order]
+    before = np.cumsum(size) - size
+    first = np.searchsorted(group[order], group[order], "left")
+    offset = np.empty(len(rows), np.int64)
+    offset[order] = before - before[first]
+    room = capacity - np.bincount(group, weights=rows["length"]).astype(np.int64)
+    return rows[["doc_id", "piece", "start", "length", "ids_crc32"]].assign(sequence_id=(shard << 32) + group, offset=offset, room=room[group])
+
+
 STATE = "shard long, island int, bins long, bound long, fit double, genome binary"
 
 
@@ -391,18 +407,45 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_P
     chosen = best.groupBy("shard").agg(F.max_by("genome", F.struct(-F.col("bins"), "fit")).alias("genome"))
 
     def place(key, left, right):
-        rows = _sorted(left)
-        group = _unpacked(right["genome"].iloc[0])
-        order = np.argsort(group, kind="stable")
-        size = rows["length"].to_numpy()[order]
-        before = np.cumsum(size) - size
-        first = np.searchsorted(group[order], group[order], "left")
-        offset = np.empty(len(rows), np.int64)
-        offset[order] = before - before[first]
-        return rows.drop(columns=["shard", "number"]).assign(sequence_id=(int(key[0]) << 32) + group, offset=offset)
-
-    placed = short.groupBy("shard").cogroup(chosen.groupBy("shard")).applyInPandas(place, PIECE + ", sequence_id long, offset long")
-    return placed.unionByName(full)
+        return _laid(_sorted(left), _unpacked(right["genome"].iloc[0]), int(key[0]), capacity)
+
+    placed = short.groupBy("shard").cogroup(chosen.groupBy("shard")).applyInPandas(place, PLACED)
+    if shards > 1:
+        placed = across(materialise(placed, "pack-placed"), shards, capacity, shard_pieces, **evolution)
+    return placed.drop("room").unionByName(full)
+
+
+def across(placed: DataFrame, shards: int, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES, **evolution) -> DataFrame:
+    """Rows of PLACED, of as many sequences or fewer; placed: the same by shards 0 to `shards` - 1, whose pieces haven't met, materialised.
+
+    Full sequences stay as they are; the others go on from round to round, until they are as few as their volume allows, too."""
+
+    def meet(key, rows):
+        # the place is another one for each row, so that a task run again has the same order
+        rows = rows.sort_values(["length", "sequence_id", "offset"], ascending=[False, True, True], ignore_index=True)
+        sizes = rows["length"].to_numpy().astype(np.int64)
+        start = [np.unique(rows["sequence_id"].to_numpy(), return_inverse=True)[1], best_fit(sizes, np.arange(len(sizes)), capacity)]
+        start.sort(key=lambda g: fitness(g, sizes, capacity), reverse=True)
+        seed = hash((int(key[0]), len(sizes))) & 0xFFFFFFFF
+        return _laid(rows, improve(sizes, start, capacity, seed, lower_bound(sizes, capacity), **evolution), int(key[0]), capacity)
+
+    full, open_, named = [], placed, shards
+    while shards > 1:
+        full.append(open_.where("room = 0"))
+        open_ = open_.where("room > 0")
+        held = open_.agg(F.count("*").alias("n"), F.count_if(F.col("offset") == 0).alias("used"), F.coalesce(F.sum("length"), F.lit(0)).alias("volume")).first()
+        if held["used"] <= -(-held["volume"] // capacity):
+            break
+        shards = -(-held["n"] // shard_pieces)
+        # names of shards go on, so that no sequence has the name of another
+        dealt = open_.withColumn("shard", F.pmod(F.xxhash64("sequence_id"), F.lit(shards)) + F.lit(named))
+        open_ = materialise(dealt.groupBy("shard").applyInPandas(meet, PLACED), "pack-across")
+        named += shards
+        if open_.where("offset = 0").count() == held["used"]:
+            break
+    for rows in full:
+        open_ = open_.unionByName(rows)
+    return open_
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, end_id: int = END_ID, capacity: int = CAPACITY, **options) -> DataFrame:

@@ -477,3 +477,21 @@ def test_pipeline_packs_all_of_a_shard_well(spark):
     sizes = _sizes(lengths)
     first = _bfd(sizes, 1024).max() + 1
     assert got["sequence_id"].nunique() <= first - 0.7 * (first - 1000)
+
+
+def test_sequences_of_different_shards_meet(spark):
+    """Four pieces fill a sequence: what the shards' last ones leave free takes pieces of other shards."""
+    items = spark.range(400).selectExpr("if(id % 5 = 0, null, id div 2) AS doc_id", "cast(id AS int) AS piece", "0L AS start", "if(id < 20, 1024L, 256L) AS length", "id AS ids_crc32", "id AS number")
+    got = packing.pack(packing.materialise(items, "test-items"), shard_pieces=16).toPandas()
+    assert list(got.columns) == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and sorted(got["piece"]) == list(range(400))
+    assert all(x["doc_id"] == x["piece"] // 2 if x["piece"] % 5 else math.isnan(x["doc_id"]) for _, x in got.iterrows())
+    for _, rows in got.groupby("sequence_id"):
+        assert sorted(rows["offset"]) == [256 * k for k in range(len(rows))] and rows["length"].sum() <= 1024
+    assert got["sequence_id"].nunique() == 20 + 95
+
+
+def test_pipeline_packs_shards_together(spark):
+    """50,000 documents of the end id alone are four shards, of 13 sequences each, and fit in 49."""
+    docs = spark.range(50_000).selectExpr("id AS doc_id", "'' AS text", "'en' AS lang", "'s' AS source", "0L AS n_chars")
+    got = corpus_pipeline.pack(spark, docs, "").groupBy("sequence_id").agg({"length": "sum", "offset": "max"}).toPandas()
+    assert len(got) == 49 and got["sum(length)"].sum() == 50_000 and (got["sum(length)"] == got["max(offset)"] + 1).all()
